@@ -13,7 +13,7 @@ from alertloom.operators.scans import density, newest_cover
 from alertloom.session import checkpoint_dir
 from alertloom.settings import GROUP, Settings
 
-STATUS_OPEN = F.col("problem_status") == "open"
+STATUS_OPEN = "problem_status = 'open'"
 
 
 def group_candidates(incidents: DataFrame) -> DataFrame:
@@ -91,7 +91,7 @@ def storm_groups(candidates: DataFrame, cfg: Settings = Settings(), checkpoints:
 
 def open_roots(incidents: DataFrame, root_host: str) -> DataFrame:
     """Open availability incidents of the root host."""
-    return incidents.where((F.col("source") != GROUP) & (F.col("host") == root_host) & F.col("availability") & STATUS_OPEN)
+    return incidents.where((F.col("source") != GROUP) & (F.col("host") == root_host) & F.col("availability") & F.expr(STATUS_OPEN))
 
 
 def root_outage_groups(candidates: DataFrame, roots: DataFrame, cfg: Settings = Settings()) -> DataFrame:
@@ -146,7 +146,7 @@ def group_rollup(incidents: DataFrame, now: Column) -> DataFrame:
     """State of every group from its members. Member ids stay in the incidents; the report lists them on demand."""
     return (incidents.where(F.col("group_id").isNotNull()).groupBy("group_id").agg(
         F.count("*").alias("members"), F.max("severity").alias("severity"), F.min("started_at").alias("started_at"),
-        F.max("last_occurrence_at").alias("last_occurrence_at"), F.count_if(STATUS_OPEN).alias("open_members"),
+        F.max("last_occurrence_at").alias("last_occurrence_at"), F.count_if(F.expr(STATUS_OPEN)).alias("open_members"),
         F.count_if(F.col("problem_status") == "oneshot").alias("oneshot_members"),
         F.max("resolved_at").alias("latest"), F.min("id").alias("first_id"))
         .withColumn("problem_status", F.when(F.col("open_members") > 0, "open")

@@ -41,7 +41,9 @@ def state_of(d, base: str) -> str:
     """Rolled-up incidents with the columns the queue, the model runs and the operators would have set."""
     state = d.pick("id", "held", "queued", "retry_wait", "running", "done", "done", "failed", "skipped")
     return f"""
-SELECT *, CASE WHEN state0 = 'done' THEN {d.pick('id', 'now', 'today', 'watch', 'ignore', 'watch')} END AS urgency,
+SELECT {d.without('problem_status', 'resolved_at')}, CASE WHEN reopened THEN 'open' ELSE problem_status END AS problem_status,
+  CASE WHEN NOT reopened THEN resolved_at END AS resolved_at,
+  CASE WHEN state0 = 'done' THEN {d.pick('id', 'now', 'today', 'watch', 'ignore', 'watch')} END AS urgency,
   CASE WHEN state0 = 'done' THEN {d.pick('id', 'availability', 'performance', 'security', 'configuration', 'noise')} END AS kind,
   CASE WHEN state0 = 'done' THEN 'summary ' || CAST(id AS STRING) END AS summary,
   CASE WHEN id % 16 = 8 THEN 'grouped' ELSE state0 END AS analysis_state,
@@ -59,7 +61,8 @@ SELECT *, CASE WHEN state0 = 'done' THEN {d.pick('id', 'now', 'today', 'watch',
   CASE WHEN state0 = 'done' AND id % 3 = 0 THEN {d.add('last_occurrence_at', 'id % 20000 + 3600')} END AS read_at,
   {d.add('last_occurrence_at', 'id % 20000')} AS updated_at,
   raw AS raw_json
-FROM (SELECT *, CASE WHEN severity < 2 THEN 'skipped' ELSE {state} END AS state0 FROM {base}) b"""
+FROM (SELECT *, CASE WHEN severity < 2 THEN 'skipped' ELSE {state} END AS state0,
+  source = 'problem' AND id % 5 = 2 AS reopened FROM {base}) b"""
 
 
 def events_log(d) -> str:
@@ -151,7 +154,7 @@ def poll_log(d) -> str:
     """Polls of two sources: an error event is a failed poll."""
     return f"""
 SELECT event_id AS id, CASE WHEN user_id % 2 = 0 THEN 'problem' ELSE 'security' END AS source, {d.second('ts')} AS at,
-  event_type <> 'error' AS ok, value < 100 AS complete,
+  event_type <> 'error' AS ok, value < 30 AS complete,
   CASE WHEN event_type = 'error' THEN {d.pick('CAST(floor(event_id / 3) AS BIGINT)', 'auth', 'timeout', 'internal', 'server', 'throttled')} END AS error_kind,
   CAST(CAST(floor(event_id / 40) AS BIGINT) AS STRING) AS position,
   CASE WHEN event_type = 'error' AND event_id % 11 = 0 THEN 700 WHEN event_type = 'error' AND event_id % 7 = 0 THEN 45 END AS retry_after
@@ -169,6 +172,6 @@ FROM events WHERE event_type IN ('signup', 'purchase', 'view')"""
 def rounds(d) -> str:
     """All listing rounds, with whether they were read to their end."""
     return f"""
-SELECT round, max(at) AS at, max(n) % 4 <> 0 AS complete FROM (
-  SELECT CAST(floor({d.epoch(d.second('ts'))} / 7200) AS BIGINT) AS round, {d.second('ts')} AS at, event_id AS n FROM events) r
+SELECT round, max(polled) AS at, max(n) % 4 <> 0 AS complete FROM (
+  SELECT CAST(floor({d.epoch(d.second('ts'))} / 7200) AS BIGINT) AS round, {d.second('ts')} AS polled, event_id AS n FROM events) r
 GROUP BY round"""

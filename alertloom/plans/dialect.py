@@ -30,6 +30,10 @@ class Spark:
         inside = ", ".join(f"'{v}'" for v in values)
         return f"element_at(array({inside}), CAST(({index}) % {len(values)} + 1 AS INT))"
 
+    @staticmethod
+    def without(*names: str) -> str:
+        return f"* EXCEPT ({', '.join(names)})"
+
 
 class Duck(Spark):
     name = "duck"
@@ -58,3 +62,7 @@ class Duck(Spark):
     def pick(index: str, *values: str) -> str:
         inside = ", ".join(f"'{v}'" for v in values)
         return f"list_extract([{inside}], CAST(({index}) % {len(values)} + 1 AS INTEGER))"
+
+    @staticmethod
+    def without(*names: str) -> str:
+        return f"* EXCLUDE ({', '.join(names)})"

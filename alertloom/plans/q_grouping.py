@@ -15,7 +15,7 @@ add_block("starts", ("rolled",), "SELECT *, CAST(epoch(started_at) AS BIGINT) AS
 add_block("near", ("starts",), "SELECT s, count(*) AS n, max(w) AS within FROM (SELECT s, count(*) OVER (ORDER BY s "
           "RANGE BETWEEN CURRENT ROW AND 300 FOLLOWING) AS w FROM starts) x GROUP BY s")
 add_block("roots", ("rolled",), f"SELECT *, CAST(epoch(started_at) AS BIGINT) AS s FROM rolled WHERE host = '{adapters.ROOT}' "
-          "AND source = 'problem' AND (availability OR id % 3 = 0) AND problem_status = 'open'")
+          "AND source = 'problem' AND (availability OR id % 3 = 0) AND (problem_status = 'open' OR id % 2 = 0)")
 add_block("spans", ("incidents",), "SELECT group_id, min(CAST(epoch(started_at) AS BIGINT)) - 300 AS lo, "
           "max(CAST(epoch(started_at) AS BIGINT)) + 300 AS hi FROM incidents WHERE group_id IS NOT NULL GROUP BY group_id")
 add_block("groups", ("incidents",), f"""
@@ -29,7 +29,10 @@ FROM incidents WHERE group_id IS NOT NULL GROUP BY group_id""")
 
 
 def roots_of(t):
-    wide = t.rolled.withColumn("availability", F.col("availability") | ((F.col("id") % 3 == 0) & (F.col("source") == "problem")))
+    """Root outages; more incidents count as open outages than the data would give, so that the join has work."""
+    problem = F.col("source") == "problem"
+    wide = t.rolled.withColumn("availability", problem & (F.col("availability") | (F.col("id") % 3 == 0))) \
+        .withColumn("problem_status", F.when(problem & (F.col("id") % 2 == 0), "open").otherwise(F.col("problem_status")))
     return grouping.open_roots(wide, t.cfg.root_host)
 
 
@@ -61,14 +64,14 @@ def _(t):
     return roots_of(t).select("id", "host", "started_at")
 
 
-@query("root_outage_groups", over("cand", "roots", sql="""
-WITH ok AS (SELECT r.s, max(r.id) AS root_id FROM roots r WHERE (SELECT count(*) FROM cand c WHERE c.s BETWEEN r.s - 300 AND r.s + 300) >= 2
+@query("root_outage_groups", over("starts", "roots", sql="""
+WITH ok AS (SELECT r.s, max(r.id) AS root_id FROM roots r WHERE (SELECT count(*) FROM starts c WHERE c.s BETWEEN r.s - 300 AND r.s + 300) >= 2
   GROUP BY r.s),
-placed AS (SELECT c.id, c.host, c.started_at, arg_max(ok.root_id, ok.s) AS root_id FROM cand c JOIN ok ON c.s BETWEEN ok.s - 300 AND ok.s + 300
+placed AS (SELECT c.id, c.host, c.started_at, arg_max(ok.root_id, ok.s) AS root_id FROM starts c JOIN ok ON c.s BETWEEN ok.s - 300 AND ok.s + 300
   GROUP BY 1, 2, 3)
 SELECT * FROM (SELECT root_id, id, host, started_at, count(*) OVER (PARTITION BY root_id) AS members FROM placed) x WHERE members >= 2"""))
 def _(t):
-    return grouping.root_outage_groups(grouping.group_candidates(t.incidents), roots_of(t), t.cfg)
+    return grouping.root_outage_groups(t.rolled, roots_of(t), t.cfg)
 
 
 @query("mark_root_down", over("spans", "roots", sql="""

@@ -66,7 +66,7 @@ class Tables:
     @cached_property
     def incidents(self) -> DataFrame:
         below = intake.skip_below_threshold(self.alerts).select(*self.rolled.columns)
-        return self._view(adapters.state_of(Spark, "base"), base=self.rolled.unionByName(below)).drop("state0", "raw")
+        return self._view(adapters.state_of(Spark, "base"), base=self.rolled.unionByName(below)).drop("state0", "raw", "reopened")
 
     @cached_property
     def log(self) -> DataFrame:

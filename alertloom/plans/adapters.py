@@ -139,7 +139,7 @@ def probe_results(d) -> str:
     """Probe results: one per event."""
     return f"""
 SELECT event_id AS id, user_id AS incident_id,
-  CASE WHEN event_type = 'signup' THEN NULL ELSE CAST(event_id / 5 AS BIGINT) END AS analysis_id,
+  CASE WHEN event_type = 'signup' THEN NULL ELSE CAST(floor(event_id / 5) AS BIGINT) END AS analysis_id,
   {d.pick('CAST(floor(value) AS BIGINT)', 'uptime_load', 'disk', 'memory', 'logins')} AS name,
   'host-' || CAST(user_id % 10 AS STRING) AS target,
   CASE WHEN event_type IN ('signup', 'view') THEN 'operator' ELSE 'initial' END AS trigger,

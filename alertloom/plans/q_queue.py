@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from alertloom.operators import queueing
-from alertloom.plans import adapters
+from alertloom.plans import adapters, q_grouping  # noqa: F401  (its oracle blocks)
 from alertloom.plans.oracle import add_block, over
 from alertloom.plans.registry import query
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from alertloom.functions import codes
 from alertloom.operators import intake, queueing, reports
-from alertloom.plans import adapters
+from alertloom.plans import adapters, q_queue  # noqa: F401  (its oracle blocks)
 from alertloom.plans.oracle import add_block, over
 from alertloom.plans.q_scalar import DURATION, _case
 from alertloom.plans.registry import query

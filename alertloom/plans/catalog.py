@@ -1,7 +1,7 @@
 """All registered queries."""
 from __future__ import annotations
 
-from alertloom.plans import q_collector, q_grouping, q_intake, q_queue, q_records, q_reports, q_scalar  # noqa: F401
+from alertloom.plans import q_collector, q_grouping, q_intake, q_manual, q_queue, q_records, q_reports, q_scalar  # noqa: F401
 from alertloom.plans import registry
 
 

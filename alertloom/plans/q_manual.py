@@ -86,7 +86,7 @@ def _(t):
     return sections_of(t).select("id", "file", "ord", "line", "level", "heading", "parent", "text")
 
 
-@query("split_rejects", over("files", sql="SELECT file, 'fence is never closed' AS reason FROM files WHERE doc_id % 7 = 3"))
+@query("unclosed_fences", over("files", sql="SELECT file, 'fence is never closed' AS reason FROM files WHERE doc_id % 7 = 3"))
 def _(t):
     odd = files_of(t).withColumn("text", F.concat("text", F.when(F.col("doc_id") % 7 == 3, "\n~~~ open\nx").otherwise("")))
     return manual.split_rejects(odd)

@@ -1,8 +1,8 @@
 """All registered queries."""
 from __future__ import annotations
 
-from alertloom.plans import (q_collector, q_grouping, q_intake, q_manual, q_queue, q_records, q_reports, q_scalar,  # noqa: F401
-                             q_sources)
+from alertloom.plans import (q_collector, q_grouping, q_intake, q_manual, q_prompts, q_queue, q_records, q_reports,   # noqa: F401
+                             q_scalar, q_sources)
 from alertloom.plans import registry
 
 

@@ -69,21 +69,28 @@ def _problems(value: Column, form: dict, path: Column) -> Column:
         return F.when(kind.startswith("ARRAY"), F.concat(_when(F.size(items) > form["most"], path, f"at most {form['most']}"), inner)) \
             .otherwise(_one(path, "a list"))
     names = F.map_keys(F.try_variant_get(value, "$", "map<string,variant>"))
+    fields = {name: F.try_variant_get(value, f"$.{name}", "variant") for name in form["fields"]}
+    return _object_problems(kind, names, fields, form, path)
+
+
+def _object_problems(kind: Column, names: Column, fields: dict[str, Column], form: dict, path: Column) -> Column:
     parts = []
     for name in form["fields"]:
         parts.append(F.when(~F.array_contains(names, name), _one(F.concat(path, F.lit(f".{name}")), "missing")).otherwise(_nothing()))
     unknown = F.filter(names, lambda n: ~n.isin(*form["fields"]))
     parts.append(F.transform(unknown, lambda n: F.struct(F.concat(path, F.lit("."), n).alias("path"), F.lit("unknown field").alias("message"))))
     for name, sub in form["fields"].items():
-        field = F.try_variant_get(value, f"$.{name}", "variant")
-        parts.append(F.when(F.array_contains(names, name), _problems(field, sub, F.concat(path, F.lit(f".{name}")))).otherwise(_nothing()))
+        parts.append(F.when(F.array_contains(names, name), _problems(fields[name], sub, F.concat(path, F.lit(f".{name}")))).otherwise(_nothing()))
     return F.when(kind.startswith("OBJECT"), F.concat(*parts)).otherwise(_one(path, "an object"))
 
 
 def validate_answers(answers: DataFrame) -> DataFrame:
     """``answers(id, content)``: the first 20 problems of form of every answer, with path and message."""
     found = answers.select("id", F.try_parse_json("content").alias("v"))
-    listed = F.slice(_problems(F.col("v"), FORM, F.lit("$")), 1, MAX_PROBLEMS)
+    # the fields of the answer are columns, so that the checks below start from values and not from the whole text
+    found = found.withColumns({"_kind": F.coalesce(F.schema_of_variant("v"), F.lit("VOID")), "_names": F.map_keys(F.try_variant_get("v", "$", "map<string,variant>")),
+                               **{f"_{n}": F.try_variant_get("v", f"$.{n}", "variant") for n in FORM["fields"]}})
+    listed = F.slice(_object_problems(F.col("_kind"), F.col("_names"), {n: F.col(f"_{n}") for n in FORM["fields"]}, FORM, F.lit("$")), 1, MAX_PROBLEMS)
     return found.select("id", F.posexplode(listed).alias("pos", "p")).select("id", "pos", "p.path", "p.message")
 
 

@@ -124,29 +124,50 @@ def attach_operator_results(results: DataFrame, runs: DataFrame) -> DataFrame:
     return placed.where("kind = 0").select(F.col("result_id").alias("id"), "incident_id", F.col("next.run_id").alias("analysis_id"))
 
 
-def suppress_repeats(requests: DataFrame, within: int = REPEAT_SEC) -> DataFrame:
-    """``requests(id, incident_id, name, at)``: a request within ``within`` seconds of an accepted one is refused.
+def suppress_repeats(requests: DataFrame, within: int = REPEAT_SEC, checkpoints: str | None = None) -> DataFrame:
+    """``requests(id, incident_id, name, at)``: a request within ``within`` seconds (a day at most) of an accepted one is
+    refused.
 
-    Whether a request is accepted depends on the chain before it, but a pause of ``within`` seconds always starts a new
-    chain. Chains are folded one by one, each over its distinct seconds.
+    Which request is accepted depends on the chain of accepted ones before it. Every second points to the first second
+    that could be accepted after it; starting from the heads of chains, the accepted seconds are reached by doubling the
+    length of the jumps, so a chain of a million takes twenty rounds and is never gathered.
     """
-    s = seconds(F.col("at"))
-    per = requests.withColumn("s", s).groupBy("incident_id", "name", "s").agg(F.min("id").alias("first_id"))
-    key = ["incident_id", "name"]
     from alertloom.operators.scans import carry
-    per = per.withColumn("chunk", F.floor(F.col("s") / 86400))
+    from alertloom.session import checkpoint_dir
+    checkpoint_dir(requests.sparkSession, checkpoints)
+    key = ["incident_id", "name"]
+    per = requests.groupBy(*key, seconds(F.col("at")).alias("s")).agg(F.min("id").alias("first_id")) \
+        .withColumn("chunk", F.floor(F.col("s") / 86400))
     per = carry(per, key, "chunk", {"s0": (F.max("s"), F.max)})
-    inside = W.partitionBy(*key, "chunk").orderBy("s")
-    prev = F.coalesce(F.lag("s").over(inside), F.col("s0"))
-    per = per.withColumn("head", F.when(prev.isNull() | (F.col("s") - prev >= within), F.col("s")))
-    per = carry(per, key, "chunk", {"h0": (F.max("head"), F.max)})
-    per = per.withColumn("chain", F.coalesce(F.max("head").over(inside.rowsBetween(W.unboundedPreceding, 0)), F.col("h0")))
-    chains = per.groupBy(*key, "chain").agg(F.array_sort(F.collect_list("s")).alias("at"))
-    fold = F.aggregate("at", F.array().cast("array<bigint>"), lambda acc, x: F.when(
-        (F.size(acc) == 0) | (x - F.element_at(acc, -1) >= within), F.concat(acc, F.array(x))).otherwise(acc))
-    accepted = chains.select(*key, F.explode(fold).alias("s")).join(per.select(*key, "s", "first_id"), [*key, "s"])
-    return requests.join(accepted.select(*key, F.col("first_id").alias("id"), F.lit(True).alias("hit")), [*key, "id"], "left") \
-        .select("id", *key, "at", F.coalesce("hit", F.lit(False)).alias("accepted"))
+    day = W.partitionBy(*key, "chunk").orderBy("s")
+    later = W.partitionBy(*key).orderBy("chunk").rowsBetween(1, W.unboundedFollowing)
+    # the first second of the days after; only when it is far enough, else the jump is looked up there
+    days = per.groupBy(*key, "chunk").agg(F.min("s").alias("first_s")).select(*key, "chunk", F.min("first_s").over(later).alias("after"))
+    prev = F.coalesce(F.lag("s").over(day), F.col("s0"))
+    per = per.join(days, [*key, "chunk"]).withColumns({
+        "head": prev.isNull() | (F.col("s") - prev >= within), "same_day": F.min("s").over(day.rangeBetween(within, W.unboundedFollowing))})
+    per = per.select(*key, "s", "first_id", "head", F.coalesce("same_day", "after").alias("guess"))
+    # a jump over midnight may land closer than allowed: then the first second far enough on that day is the target
+    close = per.where(F.col("guess") - F.col("s") < within).select(*key, F.col("s").alias("from_s"), (F.col("s") + within).alias("least"),
+                                                                     F.floor((F.col("s") + within) / 86400).alias("d"))
+    options = per.select(*key, F.col("s").alias("t"), F.floor(F.col("s") / 86400).alias("d"))
+    fixed = close.join(options, [*key, "d"]).where("t >= least").groupBy(*key, "from_s").agg(F.min("t").alias("fixed"))
+    beyond = close.join(days.withColumnRenamed("chunk", "d"), [*key, "d"]).select(*key, "from_s", F.col("after").alias("beyond"))
+    per = per.join(fixed.withColumnRenamed("from_s", "s"), [*key, "s"], "left").join(beyond.withColumnRenamed("from_s", "s"), [*key, "s"], "left")
+    target = F.when(F.col("guess") - F.col("s") >= within, F.col("guess")).otherwise(F.coalesce("fixed", "beyond"))
+    per = per.select(*key, "s", "first_id", "head", target.alias("target")).checkpoint()
+    jumps = per.where("target IS NOT NULL").select(*key, "s", "target")
+    reached = per.where("head").select(*key, "s")
+    while True:
+        more = reached.join(jumps, [*key, "s"]).select(*key, F.col("target").alias("s"))
+        grown = reached.union(more).distinct().checkpoint()
+        if grown.count() == reached.count():
+            break
+        reached = grown
+        jumps = jumps.join(jumps.select(*key, F.col("s").alias("target"), F.col("target").alias("far")), [*key, "target"]) \
+            .select(*key, "s", F.col("far").alias("target")).checkpoint()
+    accepted = per.join(reached, [*key, "s"], "left_semi").select(*key, F.col("first_id").alias("id"), F.lit(True).alias("hit"))
+    return requests.join(accepted, [*key, "id"], "left").select("id", *key, "at", F.coalesce("hit", F.lit(False)).alias("accepted"))
 
 
 def command_words(command: Column) -> Column:

@@ -89,7 +89,9 @@ def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold:
     key = [F.xxhash64(F.coalesce("text", F.lit(""))).alias("_t1"), F.xxhash64(F.lit(1), F.coalesce("text", F.lit(""))).alias("_t2")]
     docs = docs.withColumn("text", F.col("text").cast("string"))
     table = stored(weights(docs, trusted_ids(labels), buckets), "weights")
-    scores = (docs.select(*key, F.explode(grams(F.col("text"), buckets)).alias("bucket"))
+    # keys and grams stand in a projection of their own: beside explode they would be computed again for every gram
+    scores = (docs.select(*key, grams(F.col("text"), buckets).alias("_grams"))
+              .select("_t1", "_t2", F.explode("_grams").alias("bucket"))
               .join(F.broadcast(table), "bucket")  # at most ``buckets`` rows
               .groupBy("_t1", "_t2").agg(F.round(F.sum("weight") / F.count("*")).cast("long").alias("_score")))
     rules = docs.select("*", base_rules(F.col("text")).alias("_rules"), *key)

@@ -14,6 +14,7 @@ from __future__ import annotations
 import posixpath
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,7 +32,7 @@ from alertloom.llm.common import folder, stored
 
 LENGTH = 2048
 PAGE = 64
-CACHE = 400_000
+CACHE = 1_000_000
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
@@ -55,20 +56,27 @@ def tokenizer(path: str):
 
 def encoded(texts: pa.Array, path: str, cache: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of a batch and their number per text. The tokenizer drops white space and never joins over it, so each distinct
-    word between ASCII spaces is encoded once per batch."""
+    word between ASCII spaces is encoded once per batch. A full stop or comma behind a letter is a piece of its own and ASCII
+    letters lose their case, so words that differ in these only are encoded once, too."""
     cut = pc.ascii_split_whitespace(texts)
     per_text = np.diff(cut.offsets.to_numpy())
     coded = cut.flatten().dictionary_encode()
-    entries = coded.dictionary.to_pylist()
-    new = [w for w in entries if w not in cache]
+    cores, tails = [], []
+    for word in coded.dictionary.to_pylist():
+        core = word.rstrip(".,")
+        if len(core) < len(word) and not ("a" <= core[-1:].lower() <= "z" and core[-1:].isascii()):
+            core = word
+        tails.append(word[len(core):])
+        cores.append(core.lower() if core.isascii() else core)
+    new = list({w for w in (*cores, *tails) if w not in cache})
     if len(cache) + len(new) > CACHE:
         cache.clear()
-        new = entries
+        new = list({*cores, *tails})
     for at in range(0, len(new), 20_000):
         part = new[at:at + 20_000]
         for word, found in zip(part, tokenizer(path).encode_batch_fast(part, add_special_tokens=False)):
-            cache[word] = np.array(found.ids, "<u4").tobytes()
-    return spread([cache[w] for w in entries], coded.indices.to_numpy(), per_text)
+            cache[word] = array("I", found.ids).tobytes()
+    return spread([cache[c] + cache[t] if t else cache[c] for c, t in zip(cores, tails)], coded.indices.to_numpy(), per_text)
 
 
 class Pages:

@@ -6,14 +6,15 @@ the new bytes, and after an edit only the bytes up to the point where the stored
 
 Texts are cut where a word is followed by a space; no match of the splitting pattern crosses such a place, so each distinct
 piece of a batch is encoded once. Defined cases: null is the empty text with no ids; repeated rows give equal rows; a lone
-surrogate cannot occur in a Spark string. Memory is bounded by the batch and by ``CACHE`` pieces.
+surrogate cannot occur in a Spark string. Memory is bounded by the batch and by ``CACHE`` pieces in each memory.
 """
 from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,24 @@ CACHE = 400_000
 CHUNK = regex.compile(r"\s*\S+|\s+")
 
 
+class Memo(dict):
+    """A bounded memory of results: two generations, so that what is asked often outlives the change."""
+
+    def __init__(self, make, most: int = CACHE) -> None:
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
 class Ranks:
     """A vocabulary of byte tokens by rank, with what decides whether two tokens may stand side by side."""
 
@@ -37,7 +56,8 @@ class Ranks:
         self.longest = max(map(len, self.rank))
         self.pattern = regex.compile(pattern)
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.stands: dict[tuple[int, int], bool] = {}
+        self.stands: dict[tuple[int, int], bool] = Memo(self._stands)
+        self.matches: dict[str, list[int]] = Memo(lambda m: self.encode_piece(m.encode("utf-8", "surrogatepass")))
 
     def split(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge made this one; None for a token that merges do not make of its own bytes."""
@@ -59,40 +79,34 @@ class Ranks:
         The merges on both sides of the border are undone from the latest; at each moment the two tokens at the border
         must not make a token of lower rank than the merge that is undone next.
         """
-        known = self.stands.get((left, right))
-        if known is None:
-            known, bound, x, y = True, 1 << 40, left, right
-            while True:
-                joint = self.rank.get(self.bytes[x] + self.bytes[y])
-                if joint is not None and joint < bound:
-                    known = False
-                    break
-                one, two = len(self.bytes[x]) > 1, len(self.bytes[y]) > 1
-                if not one and not two:
-                    break
-                # the later merge of the two was made while the other token was whole; of equal ones the left came first
-                if one and (not two or x > y):
-                    bound, x = x, self.split(x)[1]
-                else:
-                    bound, y = y + 1, self.split(y)[0]
-            if len(self.stands) > 2 * CACHE:
-                self.stands.clear()
-            self.stands[left, right] = known
-        return known
-
-    @property
+        return self.stands[left, right]
+
+    def _stands(self, pair: tuple[int, int]) -> bool:
+        (x, y), bound = pair, 1 << 40
+        while True:
+            joint = self.rank.get(self.bytes[x] + self.bytes[y])
+            if joint is not None and joint < bound:
+                return False
+            one, two = len(self.bytes[x]) > 1, len(self.bytes[y]) > 1
+            if not one and not two:
+                return True
+            # the later merge of the two was made while the other token was whole; of equal ones the left came first
+            if one and (not two or x > y):
+                bound, x = x, self.split(x)[1]
+            else:
+                bound, y = y + 1, self.split(y)[0]
+
+    @cached_property
     def made(self) -> frozenset[int]:
         """Tokens that merges make of their own bytes."""
-        if not hasattr(self, "_made"):
-            self._made = frozenset(i for i, t in self.bytes.items() if len(t) == 1 or self.split(i) is not None)
-        return self._made
+        return frozenset(i for i, t in self.bytes.items() if len(t) == 1 or self.split(i) is not None)
 
     def encode_piece(self, piece: bytes) -> list[int]:
         whole = self.rank.get(piece)
         return [whole] if whole is not None else Prefixes(self, piece).ids()
 
     def encode(self, text: str) -> list[int]:
-        return [i for m in self.pattern.finditer(text) for i in self.encode_piece(m.group().encode("utf-8", "surrogatepass"))]
+        return [i for m in self.pattern.findall(text) for i in self.matches[m]]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
@@ -106,10 +120,11 @@ class Prefixes:
         self.append(data)
 
     def _end(self, i: int) -> int:
-        rank, made, data, last = self.ranks.rank, self.ranks.made, self.data, self.last
-        for a in range(max(0, i - self.ranks.longest), i):
+        ranks, data, last = self.ranks, self.data, self.last
+        rank, made, stands = ranks.rank, ranks.made, ranks.stands
+        for a in range(i - ranks.longest if i > ranks.longest else 0, i):
             token = rank.get(data[a:i])
-            if token is not None and token in made and (a == 0 or self.ranks.adjacent(last[a], token)):
+            if token is not None and (not a or stands[last[a], token]) and token in made:
                 return token
         raise ValueError("bytes outside the vocabulary")
 
@@ -162,18 +177,16 @@ def pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pa.array([p for row in rows for p in row], pa.string()), np.array([len(row) for row in rows])
 
 
-def encoded(texts: pa.Array, vocabulary: Ranks, cache: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def coder(vocabulary: Ranks) -> Memo:
+    """Ids of pieces as little-endian 32-bit integers."""
+    return Memo(lambda piece: array("I", vocabulary.encode(piece)).tobytes())
+
+
+def encoded(texts: pa.Array, cache: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a batch in order, and the number of ids per text."""
     flat, per_text = pieces(texts)
     coded = flat.dictionary_encode()
-    known = []
-    for piece in coded.dictionary.to_pylist():
-        ids = cache.get(piece)
-        if ids is None:
-            if len(cache) >= CACHE:
-                cache.clear()
-            ids = cache[piece] = np.array(vocabulary.encode(piece), np.uint32).tobytes()
-        known.append(ids)
+    known = [cache[piece] for piece in coded.dictionary.to_pylist()]
     return spread(known, coded.indices.to_numpy(), per_text)
 
 
@@ -204,11 +217,12 @@ def slices(batch: pa.RecordBatch, most: int = 8_000_000) -> Iterator[pa.RecordBa
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Per row ``doc_id, n_tokens, ids_sha256, decoded_sha256``: encode each whole text, then decode the ids."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, cache = ranks(path, pattern), {}
+        vocabulary = ranks(path, pattern)
+        cache = coder(vocabulary)
         width = max(vocabulary.bytes) + 1
         table = [vocabulary.bytes.get(i, b"") for i in range(width)]
         for batch in (part for whole in batches for part in slices(whole)):
-            ids, counts = encoded(pc.fill_null(batch.column(1), ""), vocabulary, cache)
+            ids, counts = encoded(pc.fill_null(batch.column(1), ""), cache)
             one, two, at = [], [], 0
             for n in counts.tolist():
                 own = ids[at:at + n]
@@ -224,9 +238,10 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 def encode_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``doc_id, ids array<int>`` of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, cache = ranks(path, pattern), {}
+        vocabulary = ranks(path, pattern)
+        cache = coder(vocabulary)
         for batch in (part for whole in batches for part in slices(whole)):
-            ids, counts = encoded(pc.fill_null(batch.column(1), ""), vocabulary, cache)
+            ids, counts = encoded(pc.fill_null(batch.column(1), ""), cache)
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))],
                                              names=["doc_id", "ids"])

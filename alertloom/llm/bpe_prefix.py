@@ -38,6 +38,9 @@ class Memo(dict):
         found = self.old.get(key)
         if found is None:
             found = self.make(key)
+        return self.keep(key, found)
+
+    def keep(self, key, found):
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
@@ -105,6 +108,15 @@ class Ranks:
         whole = self.rank.get(piece)
         return [whole] if whole is not None else Prefixes(self, piece).ids()
 
+    def learn(self, texts: list[str]) -> None:
+        """Encode the matches of many texts that are not remembered yet: in sorted order each goes on from the prefix that it
+        shares with the one before, so a shared prefix is computed once."""
+        fresh = {m for text in texts for m in self.pattern.findall(text)}
+        chain = Prefixes(self)
+        for data, match in sorted((m.encode("utf-8", "surrogatepass"), m) for m in fresh if m not in self.matches and m not in self.matches.old):
+            whole = self.rank.get(data)
+            self.matches.keep(match, [whole] if whole is not None else chain.become(data).ids())
+
     def encode(self, text: str) -> list[int]:
         return [i for m in self.pattern.findall(text) for i in self.matches[m]]
 
@@ -134,6 +146,17 @@ class Prefixes:
         for i in range(start + 1, len(self.data) + 1):
             self.last.append(self._end(i))
 
+    def become(self, data: bytes) -> Prefixes:
+        """Another string, from the prefix that both have."""
+        old, n = self.data, min(len(self.data), len(data))
+        same = 0
+        while same < n and old[same] == data[same]:
+            same += 1
+        self.data = data[:same]
+        del self.last[same + 1:]
+        self.append(data[same:])
+        return self
+
     def edit(self, at: int, removed: int, inserted: bytes) -> int:
         """Replace bytes; returns how many prefixes were computed anew."""
         old, shift = self.last, len(inserted) - removed
@@ -182,11 +205,13 @@ def coder(vocabulary: Ranks) -> Memo:
     return Memo(lambda piece: array("I", vocabulary.encode(piece)).tobytes())
 
 
-def encoded(texts: pa.Array, cache: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray]:
+def encoded(texts: pa.Array, vocabulary: Ranks, cache: Memo) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a batch in order, and the number of ids per text."""
     flat, per_text = pieces(texts)
     coded = flat.dictionary_encode()
-    known = [cache[piece] for piece in coded.dictionary.to_pylist()]
+    distinct = coded.dictionary.to_pylist()
+    vocabulary.learn([piece for piece in distinct if piece not in cache and piece not in cache.old])
+    known = [cache[piece] for piece in distinct]
     return spread(known, coded.indices.to_numpy(), per_text)
 
 
@@ -222,7 +247,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         width = max(vocabulary.bytes) + 1
         table = [vocabulary.bytes.get(i, b"") for i in range(width)]
         for batch in (part for whole in batches for part in slices(whole)):
-            ids, counts = encoded(pc.fill_null(batch.column(1), ""), cache)
+            ids, counts = encoded(pc.fill_null(batch.column(1), ""), vocabulary, cache)
             one, two, at = [], [], 0
             for n in counts.tolist():
                 own = ids[at:at + n]
@@ -241,7 +266,7 @@ def encode_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         vocabulary = ranks(path, pattern)
         cache = coder(vocabulary)
         for batch in (part for whole in batches for part in slices(whole)):
-            ids, counts = encoded(pc.fill_null(batch.column(1), ""), cache)
+            ids, counts = encoded(pc.fill_null(batch.column(1), ""), vocabulary, cache)
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))],
                                              names=["doc_id", "ids"])

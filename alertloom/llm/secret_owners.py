@@ -43,6 +43,10 @@ def hits(text: Column, number: int, pattern: str) -> Column:
     return F.coalesce(let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), rows).cast(HIT), F.array().cast(HIT))
 
 
+def counted(marks: str, kind: int) -> Column:
+    return F.size(F.filter(marks, lambda m: m["kind"] == kind)).cast("long")
+
+
 def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", most_owners: int = MOST_OWNERS) -> DataFrame:
     """Per row ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_examples``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -73,9 +77,8 @@ def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", mos
         ":", F.get(names, m["kind"]), m["start"].cast("string"), m["end"].cast("string"))), ",")
     per_text = (both.groupBy("t1", "t2").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("all"), F.sum("example").alias("n_examples"))
                 .select("t1", "t2", "n_examples", F.filter("all", lambda m: m["kind"] < 3).alias("base"), "all")
-                .select("t1", "t2", "n_examples", *[F.size(F.filter("base", lambda m, k=k: m["kind"] == k)).cast("long").alias(f"n_{n}")
-                                                    for k, (n, _) in enumerate(KINDS[:3])],
-                        F.size(F.filter("all", lambda m: m["kind"] == len(KINDS))).cast("long").alias("n_live"),
+                .select("t1", "t2", "n_examples", *[counted("base", k).alias(f"n_{n}") for k, (n, _) in enumerate(KINDS[:3])],
+                        counted("all", len(KINDS)).alias("n_live"),
                         show(F.col("base")).alias("base"), show(F.col("all")).alias("spans")))
     out = rows.select("doc_id", "t1", "t2").join(per_text, ["t1", "t2"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)

@@ -34,7 +34,6 @@ FORM = _object(
     recommended_checks=_list(_object(purpose=_text(160, 1), where=_text(120), command=_text(300)), 5),
     correlation=_object(incidents=_list(_text(120), 10), changes=_list(_text(200), 10)),
     needs_human_decision={"type": "boolean"}, unknowns=_list(_text(160), 10))
-MAX_PROBLEMS = 20
 _ROW = "array<struct<path:string,message:string>>"
 
 
@@ -85,12 +84,12 @@ def _object_problems(kind: Column, names: Column, fields: dict[str, Column], for
 
 
 def validate_answers(answers: DataFrame) -> DataFrame:
-    """``answers(id, content)``: the first 20 problems of form of every answer, with path and message."""
+    """``answers(id, content)``: all problems of form of every answer, with path and message."""
     found = answers.select("id", F.try_parse_json("content").alias("v"))
     # the fields of the answer are columns, so that the checks below start from values and not from the whole text
     found = found.withColumns({"_kind": F.coalesce(F.schema_of_variant("v"), F.lit("VOID")), "_names": F.map_keys(F.try_variant_get("v", "$", "map<string,variant>")),
                                **{f"_{n}": F.try_variant_get("v", f"$.{n}", "variant") for n in FORM["fields"]}})
-    listed = F.slice(_object_problems(F.col("_kind"), F.col("_names"), {n: F.col(f"_{n}") for n in FORM["fields"]}, FORM, F.lit("$")), 1, MAX_PROBLEMS)
+    listed = _object_problems(F.col("_kind"), F.col("_names"), {n: F.col(f"_{n}") for n in FORM["fields"]}, FORM, F.lit("$"))
     return found.select("id", F.posexplode(listed).alias("pos", "p")).select("id", "pos", "p.path", "p.message")
 
 
@@ -142,7 +141,7 @@ def _array_strings(items: Column, form: dict, name: str) -> Column:
 
 
 def validation_summary(problems: DataFrame, shown: int = 3) -> DataFrame:
-    """First problems of every answer in one line, and how many more there are. An answer has at most 20 rows."""
+    """First problems of every answer in one line, and how many more there are."""
     ordered = F.array_sort(F.collect_list(F.struct("pos", "path", "message")))
     texts = F.transform(F.slice(ordered, 1, shown), lambda p: F.concat(p["path"], F.lit(": "), p["message"]))
     rest = F.count("*") - shown

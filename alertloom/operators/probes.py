@@ -9,7 +9,7 @@ from alertloom.functions.times import seconds
 from alertloom.settings import GROUP
 
 SERIES_POINTS = 30
-EVENTS_WINDOW, EVENTS_LEVEL, EVENTS_PAGE, EVENTS_KEEP = 7200, 5, 200, 20
+EVENTS_WINDOW, EVENTS_LEVEL, EVENTS_KEEP = 7200, 5, 20
 REPEAT_SEC = 60
 
 # A sample catalogue: name, where, roles, when, command. Commands only read.
@@ -75,13 +75,11 @@ def thin_series(points: DataFrame, keep: int = SERIES_POINTS) -> DataFrame:
 
 
 def recent_events(alerts: DataFrame, hosts: DataFrame, now: Column) -> DataFrame:
-    """Of the first 200 alerts of a host in the last two hours at level 5 or more, the last 20."""
+    """The newest 20 alerts of a host in the last two hours at level 5 or more, ``nth`` counted from the newest."""
     recent = (alerts.where((F.col("started_at") >= F.timestamp_seconds(seconds(now) - EVENTS_WINDOW)) & (F.col("started_at") <= now)
                            & (F.col("level") >= EVENTS_LEVEL)).join(hosts.select("host").distinct(), "host", "left_semi"))
-    up = F.row_number().over(W.partitionBy("host").orderBy("started_at", "seq"))
-    page = recent.withColumn("nth", up).where(F.col("nth") <= EVENTS_PAGE)
-    down = F.row_number().over(W.partitionBy("host").orderBy(F.desc("nth")))
-    return page.withColumn("back", down).where(F.col("back") <= EVENTS_KEEP).select("host", "seq", "started_at", "level", "nth")
+    nth = F.row_number().over(W.partitionBy("host").orderBy(F.desc("started_at"), F.desc("seq")))
+    return recent.withColumn("nth", nth).where(F.col("nth") <= EVENTS_KEEP).select("host", "seq", "started_at", "level", "nth")
 
 
 def open_problems(alerts: DataFrame, k: int = 20) -> DataFrame:

@@ -160,7 +160,9 @@ def probe_blocks(results: DataFrame, cap: int = PROBE_CAP) -> DataFrame:
     """Add ``block``, the text of a probe result cut to ``cap`` tokens, and its ``size``: lines are dropped from the end by
     eighths, then a single long line by quarters. Only blocks over the cap go through these steps."""
     head = F.concat(F.lit("## "), "name", F.lit(" @ "), "target", F.lit(" - "), codes.label(F.col("status"), codes.PROBE_LABELS), F.lit(" ("), F.col("duration_ms").cast("string"), F.lit(" ms)"))
-    body = F.when(F.col("output") != "", F.col("output")).otherwise(F.concat(F.lit("("), F.coalesce("error", F.lit("no output")), F.lit(")")))
+    failed = F.when(F.coalesce("error", F.lit("")) != "", F.col("error"))
+    body = F.when(F.col("output") != "", F.concat_ws("\n", F.concat(F.lit("("), failed, F.lit(")")), "output")).otherwise(
+        F.concat(F.lit("("), F.coalesce(failed, F.lit("no output")), F.lit(")")))
     t = results.withColumns({"_head": head, "_body": body}).withColumn("_whole", F.concat("_head", F.lit("\n"), "_body"))
     t = t.withColumn("_over", estimate_tokens(F.col("_whole")) > cap).withColumn("_lines", F.when(F.col("_over"), F.split("_body", "\n")))
 

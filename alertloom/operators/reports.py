@@ -283,12 +283,13 @@ def failed_outputs(analyses: DataFrame, limit: int = 8000) -> DataFrame:
 
 
 def incident_detail(incidents: DataFrame, refs: DataFrame, log: DataFrame, analyses: DataFrame, probes: DataFrame,
-                    cases: DataFrame, limit: int = 100) -> DataFrame:
-    """One nested row per incident. Each child table is cut to its newest rows per incident before it is nested, with the
-    full count beside it, so a busy incident stays one small row."""
+                    cases: DataFrame, limit: int | None = None) -> DataFrame:
+    """One nested row per incident with all its children and their counts. ``limit`` asks for a page of the newest children
+    of each kind; whole histories as long tables are the child tables themselves, keyed by ``incident_id``."""
     def newest(df: DataFrame, name: str, order: Column, *columns: str) -> DataFrame:
         nth = F.row_number().over(W.partitionBy("incident_id").orderBy(order))
-        kept = df.select("incident_id", F.struct(nth.alias("nth"), *columns).alias("row")).where(F.col("row.nth") <= limit)
+        kept = df.select("incident_id", F.struct(nth.alias("nth"), *columns).alias("row"))
+        kept = kept if limit is None else kept.where(F.col("row.nth") <= limit)
         nested = kept.groupBy("incident_id").agg(F.array_sort(F.collect_list("row")).alias(name))
         total = df.groupBy("incident_id").agg(F.count("*").alias(f"{name}_total"))
         return total.join(nested, "incident_id")

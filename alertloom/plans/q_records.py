@@ -213,9 +213,9 @@ def _(t):
 
 
 @query("recent_events", """
-SELECT host, seq, started_at, level, nth FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY nth DESC) AS back FROM (
-  SELECT *, row_number() OVER (PARTITION BY host ORDER BY started_at, seq) AS nth FROM (SELECT 'host-' || CAST(user_id % 10 AS VARCHAR) AS host, event_id AS seq, date_trunc('second', ts) AS started_at,
-    CAST(floor(value / 10) AS INTEGER) AS level FROM events) a WHERE started_at BETWEEN TIMESTAMP '2024-01-20 22:00:00' AND TIMESTAMP '2024-01-21 00:00:00' AND level >= 5) b WHERE nth <= 200) c WHERE back <= 20""")
+SELECT host, seq, started_at, level, nth FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY started_at DESC, seq DESC) AS nth FROM (
+  SELECT 'host-' || CAST(user_id % 10 AS VARCHAR) AS host, event_id AS seq, date_trunc('second', ts) AS started_at, CAST(floor(value / 10) AS INTEGER) AS level FROM events) a
+  WHERE started_at BETWEEN TIMESTAMP '2024-01-20 22:00:00' AND TIMESTAMP '2024-01-21 00:00:00' AND level >= 5) b WHERE nth <= 20""")
 def _(t):
     alerts = t._view("SELECT 'host-' || CAST(user_id % 10 AS STRING) AS host, event_id AS seq, date_trunc('second', ts) AS started_at, CAST(floor(value / 10) AS INT) AS level FROM events")
     return probes.recent_events(alerts, alerts, F.lit("2024-01-21 00:00:00").cast("timestamp"))

@@ -1,6 +1,7 @@
 """The driver's tables in Spark, with the adapter views on top."""
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,7 @@ class Tables:
         self.spark = prepare(spark)
         self.path = str(path)
         self.cfg = Settings(root_host=adapters.ROOT)
+        self.tag = uuid.uuid4().hex[:12]  # views of one session do not replace each other
         self.now = F.lit(adapters.NOW).cast("timestamp")
 
     def raw(self, name: str) -> DataFrame:
@@ -46,8 +48,8 @@ class Tables:
 
     def _view(self, sql: str, **frames: DataFrame) -> DataFrame:
         for name, frame in (frames or {n: getattr(self, n) for n in NAMES if f"FROM {n}" in sql}).items():
-            frame.createOrReplaceTempView(f"alertloom_{name}")
-            sql = sql.replace(f"FROM {name}", f"FROM alertloom_{name}")
+            frame.createOrReplaceTempView(f"alertloom_{self.tag}_{name}")
+            sql = sql.replace(f"FROM {name}", f"FROM alertloom_{self.tag}_{name}")
         return self.spark.sql(sql)
 
     def view(self, builder, *bases: str) -> DataFrame:

@@ -34,7 +34,9 @@ def read_security_alerts(spark: SparkSession, path: str) -> DataFrame:
 def read_manual(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Markdown files as (file, text, sha256), and the files that are too large or no UTF-8."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").load(path)
-    named = files.select(F.regexp_replace("path", "^.*/", "").alias("file"), "length", "content")
+    base = "/" + path.rstrip("/").rpartition("/")[2] + "/"  # files are named by their path below the folder
+    below = F.when(F.contains("path", F.lit(base)), F.substr(F.col("path"), F.locate(base, F.col("path")) + len(base))).otherwise(F.regexp_replace("path", "^.*/", ""))
+    named = files.select(below.alias("file"), "length", "content")
     reason = F.when(F.col("length") > MAX_FILE, "too large").when(~F.is_valid_utf8(F.col("content").cast("string")), "not UTF-8")
     tagged = named.withColumn("reason", reason)
     good = tagged.where("reason IS NULL").select("file", F.col("content").cast("string").alias("text"), F.sha2("content", 256).alias("sha256"))

@@ -164,6 +164,21 @@ def test_commands_of_a_manual(spark):
     assert got == {"docker ps -a", "cat <<EOF\nline\nEOF", "echo 'a\nb'"}
 
 
+def test_every_fence_is_consumed_and_long_quotes_are_linear(spark):
+    many = "echo " + "'a b' \"c\" " * 20_000
+    docs = ["```yaml\na: 1\n```\nText between.\n```sh\nls -l\n```\n", "```Bash\ndf -h\n```\n~~~bash title=x\nuptime # now\n~~~\n", "````sh\nid\n```\nwho\n````\n",
+            "```console\n$ free -m\n", f"```\n{many}\n```", "no fence", None, "```js\nrm x\n"]
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id INT, text STRING")
+    got = {(r["doc_id"], r["command"]) for r in commands.extract_commands(frame).collect()}
+    assert got == {(0, "ls -l"), (1, "df -h"), (1, "uptime"), (2, "id"), (2, "```"), (2, "who"), (3, "free -m"), (4, many.strip())}
+
+
+def test_a_backslash_e_in_a_template_is_a_word(spark):
+    checks = spark.createDataFrame([(1, "grep \\E .* x"), (2, "grep \\E . x")], "check_id INT, command STRING")
+    templates = spark.createDataFrame([("grep \\E . x",)], "command STRING")
+    assert {r["check_id"]: r["verified"] for r in commands.match_commands(checks, templates).collect()} == {1: False, 2: True}
+
+
 def test_cut_to_bytes_keeps_characters_whole(spark):
     df = spark.createDataFrame([("日本語のテキスト",)], "t STRING").select(text.cap_bytes(F.col("t"), 10).alias("c"))
     assert df.first()["c"] == "日本語" + text.CUT_MARK

@@ -166,15 +166,19 @@ def probe_blocks(results: DataFrame, cap: int = PROBE_CAP) -> DataFrame:
     t = results.withColumns({"_head": head, "_body": body}).withColumn("_whole", F.concat("_head", F.lit("\n"), "_body"))
     t = t.withColumn("_over", estimate_tokens(F.col("_whole")) > cap).withColumn("_lines", F.when(F.col("_over"), F.split("_body", "\n")))
 
+    def steps(size: Column, each: int) -> Column:
+        """More steps than cuts by a share of the rest can take: ``each`` per halving, and the last few one by one."""
+        return F.sequence(F.lit(1), F.ceil(F.log2(F.greatest(size, F.lit(1))) * each + 24).cast("int"))
+
     def of_lines(n: Column) -> Column:
         return F.concat("_head", F.lit("\n"), F.array_join(F.slice("_lines", 1, n), "\n"), F.lit(CUT))
 
     def of_chars(n: Column) -> Column:
         return F.concat("_head", F.lit("\n"), F.substr(F.col("_first"), F.lit(1), n), F.lit(CUT))
-    n_lines = F.aggregate(F.sequence(F.lit(1), F.lit(70)), F.size("_lines"), lambda n, _: F.when(
+    n_lines = F.aggregate(steps(F.size("_lines"), 8), F.size("_lines"), lambda n, _: F.when(
         (n > 1) & (estimate_tokens(of_lines(n)) > cap), n - F.greatest(F.lit(1), F.floor(n / 8).cast("int"))).otherwise(n))
     t = t.withColumn("_n", F.when(F.col("_over"), n_lines)).withColumn("_first", F.array_join(F.slice("_lines", 1, F.col("_n")), "\n"))
-    n_chars = F.aggregate(F.sequence(F.lit(1), F.lit(40)), F.length("_first"), lambda n, _: F.when(
+    n_chars = F.aggregate(steps(F.length("_first"), 4), F.length("_first"), lambda n, _: F.when(
         (n > 0) & (estimate_tokens(of_chars(n)) > cap), F.floor(n * 3 / 4).cast("int")).otherwise(n))
     t = t.withColumn("_m", F.when(F.col("_over"), n_chars)).withColumn("block", F.when(F.col("_over"), of_chars(F.col("_m"))).otherwise(F.col("_whole")))
     return t.withColumn("size", estimate_tokens(F.col("block"))).drop("_head", "_body", "_whole", "_over", "_lines", "_n", "_first", "_m")

@@ -42,43 +42,46 @@ def stream_storm_counts(incidents: DataFrame, cfg: Settings = Settings(), latene
             .select(F.col("w.start").alias("begins"), F.col("w.end").alias("ends"), "starts", (F.col("starts") >= cfg.storm_count).alias("storm")))
 
 
-INCIDENT_STATE = "incident_id BIGINT, started BIGINT, last BIGINT, resolved BIGINT, n BIGINT, n_open BIGINT, severity INT, oneshot BOOLEAN, queued BOOLEAN"
+INCIDENT_STATE = "incident_id BIGINT, started BIGINT, last BIGINT, resolved BIGINT, n BIGINT, n_open BIGINT, severity INT, held ARRAY<BIGINT>"
 INCIDENT_EVENTS = "source STRING, fingerprint STRING, seq BIGINT, incident_id BIGINT, event STRING, started_at TIMESTAMP, occurrence_count BIGINT, severity INT"
 OPEN = 1 << 52
+HELD = 5  # numbers in ``held`` per incident that waits: id, end of the hold (ms), start, alerts, severity
 
 
 def _fold(gap: int, hold: dict[str, int]) -> Callable:
-    """Arrival-order intake of one fingerprint: constant state, one output row per alert, a timer for the hold."""
+    """Arrival-order intake of one fingerprint: one output row per alert, and a timer for the holds. State is one small row and
+    ``HELD`` numbers per incident whose hold runs. The alerts of a batch are taken in the order of ``seq``. Every call sets the
+    timer anew, as Spark clears it at each; holds that have ended are told first."""
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         source, fingerprint = key
-        now = state.get if state.exists else None
-        rows = []
-        if state.hasTimedOut:
-            incident_id, started, last, resolved, n, n_open, severity, oneshot, queued = now
-            rows.append((source, fingerprint, incident_id, incident_id, "queued", pd.Timestamp(started, unit="s"), n, severity))
-            now = (incident_id, started, last, resolved, n, n_open, severity, oneshot, True)
-        created = False
-        for batch in batches:
-            for seq, at, until, level in zip(batch["seq"], batch["s"], batch["until"], batch["severity"]):
-                oneshot = source == SECURITY
-                if now is not None:
-                    incident_id, started, last, resolved, n, n_open, severity, _, queued = now
-                    is_open = not oneshot and n_open > 0
-                    near = at - gap <= max(last, resolved) and at >= started - gap
-                if now is None or not (is_open or near):
-                    is_open = not oneshot and until >= OPEN
-                    now = (seq, at, at, 0 if until >= OPEN else until, 1, int(is_open), level, oneshot, False)
-                    event, created = "created", True
-                else:
-                    event = "escalated" if level > severity else "recurred"
-                    n_open += int(not oneshot and until >= OPEN)
-                    resolved = max(resolved, 0 if until >= OPEN else until)
-                    now = (incident_id, min(started, at), max(last, at), resolved, n + 1, n_open, max(severity, level), oneshot, queued)
-                rows.append((source, fingerprint, seq, now[0], event, pd.Timestamp(now[1], unit="s"), now[4], now[6]))
+        now, held, clock = None, [], state.getCurrentProcessingTimeMs()
+        if state.exists:
+            *now, flat = state.get
+            held = [list(flat[k:k + HELD]) for k in range(0, len(flat), HELD)]
+        rows = [(source, fingerprint, i, i, "queued", pd.Timestamp(s, unit="s"), n, level) for i, due, s, n, level in held if due <= clock]
+        held = [h for h in held if h[1] > clock]
+        frames = [batch for batch in batches if len(batch)]
+        alerts = pd.concat(frames).sort_values("seq", kind="stable") if frames else None
+        for seq, at, until, level in zip(*(alerts[c] for c in ("seq", "s", "until", "severity"))) if frames else ():
+            oneshot, end = source == SECURITY, 0 if until >= OPEN else until
+            if now is not None:
+                incident_id, started, last, resolved, n, n_open, severity = now
+                is_open = not oneshot and n_open > 0
+                near = at - gap <= max(last, resolved) and at >= started - gap
+            if now is None or not (is_open or near):
+                now, event = (seq, at, at, end, 1, int(not oneshot and until >= OPEN), level), "created"
+                held.append([seq, clock + hold.get(source, 60) * 1000, at, 1, level])
+            else:
+                event = "escalated" if level > severity else "recurred"
+                now = (incident_id, min(started, at), max(last, at), max(resolved, end), n + 1, n_open + int(not oneshot and until >= OPEN), max(severity, level))
+                for h in held:
+                    if h[0] == incident_id:
+                        h[2:] = [now[1], now[4], now[6]]
+            rows.append((source, fingerprint, seq, now[0], event, pd.Timestamp(now[1], unit="s"), now[4], now[6]))
         if now is not None:
-            state.update(now)
-            if created:
-                state.setTimeoutDuration(hold.get(source, 60) * 1000)
+            state.update((*now, [x for h in held for x in h]))
+            if held:
+                state.setTimeoutDuration(max(1, min(h[1] for h in held) - clock))
         if rows:
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in INCIDENT_EVENTS.split(", ")])
     return step

@@ -1,6 +1,7 @@
 """Streams against the batch operators on the same alerts."""
 from __future__ import annotations
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +52,36 @@ def test_incidents_in_order_match_batch(spark, folder):
     assert sum(got[k] == want[k] for k in want) >= len(want) * 0.99
 
 
+class State:
+    """What one fingerprint's state would be, with a clock set by hand."""
+    exists, get, clock, timer = False, None, 0, None
+
+    def getCurrentProcessingTimeMs(self):
+        return self.clock
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+    def setTimeoutDuration(self, ms):
+        self.timer = self.clock + ms
+
+
+def test_holds_survive_later_alerts():
+    step, state = streams._fold(1800, {"problem": 60}), State()
+
+    def call(clock, *rows):
+        state.clock, state.timer = clock, None  # Spark clears the timer at each call
+        frames = [pd.DataFrame([r], columns=["seq", "s", "until", "severity"]) for r in rows]
+        return [(r.event, r.seq, r.incident_id, r.occurrence_count, r.severity) for f in step(("problem", "f"), iter(frames), state) for r in f.itertuples()]
+    # rows of one batch come in any order; the second incident of the batch does not replace the first's hold
+    assert call(0, (2, 90_000, 90_100, 3), (1, 0, 10, 2)) == [("created", 1, 1, 1, 2), ("created", 2, 2, 1, 3)]
+    assert state.timer == 60_000
+    assert call(30_000, (3, 90_200, 90_300, 4)) == [("escalated", 3, 2, 2, 4)]
+    assert state.timer == 60_000
+    assert call(60_000) == [("queued", 1, 1, 1, 2), ("queued", 2, 2, 2, 4)]
+    assert state.timer is None and call(70_000, (4, 90_400, 90_500, 1)) == [("recurred", 4, 2, 3, 4)]
+
+
 def test_storm_counts_are_bounded_by_density(spark, folder):
     alerts = streams.stream_alerts(spark, folder)
     counts = run(streams.stream_storm_counts(alerts), "storms")

@@ -54,9 +54,9 @@ def keys(line: Column, size: Column, radius: int) -> tuple[Column, Column]:
             start, width = segment(other, radius, k)
             low, high = max(-k, gap - (radius - k)), min(k, gap + (radius - k))
             for move in range(low, high + 1):
-                at = start + move
-                probes.append(F.when((at >= 1) & (at + width - 1 <= size), F.xxhash64(other, F.lit(k), F.substring(line, at, width))))
-    return F.array(*index), F.filter(F.array(*probes), lambda p: p.isNotNull())
+                # never outside the line: the segments before and after have a character for every move
+                probes.append(F.xxhash64(other, F.lit(k), F.substring(line, start + move, width)))
+    return F.array(*index), F.array(*probes)
 
 
 def distance(a: Column, b: Column, radius: int) -> Column:
@@ -106,8 +106,11 @@ def links(lines: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Pairs ``doc_a, hash_a, doc_b, hash_b`` of different lines within the radius, each once. Lines need ``radius + 1`` characters."""
     tagged = lines.select("doc", F.xxhash64("line").alias("hash"), "line", F.length("line").alias("size"))
     index, probe = keys(F.col("line"), F.col("size"), radius)
-    left = tagged.select("doc", "hash", F.explode(F.array_distinct(probe)).alias("key"))
-    right = tagged.select(F.col("doc").alias("doc2"), F.col("hash").alias("hash2"), F.explode(index).alias("key"))
+    # the arrays stand in projections of their own, where lengths and segments are computed once; explode takes an expression
+    # on them, as for a plain column Spark adds a filter that would compute the array a second time
+    left = tagged.select("doc", "hash", probe.alias("keys")).select("doc", "hash", F.explode(F.array_distinct("keys")).alias("key"))
+    right = tagged.select(F.col("doc").alias("doc2"), F.col("hash").alias("hash2"), index.alias("keys")).select(
+        "doc2", "hash2", F.explode(F.array_distinct("keys")).alias("key"))
     met = left.join(right, "key").where("doc <> doc2 OR hash <> hash2")
     ahead = F.struct("doc", "hash") < F.struct("doc2", "hash2")
     pick = lambda x, y: F.when(ahead, F.col(x)).otherwise(F.col(y))

@@ -22,6 +22,7 @@ from alertloom.llm.common import let, stored
 RADIUS = 2
 LEAST = 24
 SLOTS = 23
+LETTERS = "etaoinsr"
 
 
 def own_lines(text: Column, least: int) -> Column:
@@ -59,6 +60,26 @@ def keys(line: Column, size: Column, radius: int) -> tuple[Column, Column]:
     return F.array(*index), F.array(*probes)
 
 
+def letters(line: Column) -> Column:
+    """How often each of eight common letters stands in a line: counts modulo 256, packed into a long."""
+    counts = [(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c)))).cast("long") for c in LETTERS]
+    packed = F.lit(0).cast("long")
+    for k, n in enumerate(counts):
+        packed = packed.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(255)), 8 * k))
+    return packed
+
+
+def may_link(a: Column, b: Column, radius: int) -> Column:
+    """False only for letter counts that no ``radius`` edits can turn into each other: an edit adds one letter at most and
+    takes one at most. Counts of other letters, and of other scripts, say nothing and let the pair through."""
+    more = fewer = F.lit(0).cast("long")
+    for k in range(len(LETTERS)):
+        gap = (F.shiftrightunsigned(a, 8 * k) - F.shiftrightunsigned(b, 8 * k)).bitwiseAND(F.lit(255))
+        more = more + F.when(gap < 128, gap).otherwise(0)
+        fewer = fewer + F.when(gap < 128, 0).otherwise(256 - gap)
+    return (more <= radius) & (fewer <= radius)
+
+
 def distance(a: Column, b: Column, radius: int) -> Column:
     """Edit distance of two texts whose lengths differ by at most the radius, exact up to the radius, larger beyond it.
 
@@ -104,14 +125,16 @@ def bit_of(value: Column, bit: Column) -> Column:
 
 def links(lines: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Pairs ``doc_a, hash_a, doc_b, hash_b`` of different lines within the radius, each once. Lines need ``radius + 1`` characters."""
-    tagged = lines.select("doc", F.xxhash64("line").alias("hash"), "line", F.length("line").alias("size"))
+    tagged = lines.select("doc", F.xxhash64("line").alias("hash"), "line", F.length("line").alias("size"), letters(F.col("line")).alias("sign"))
     index, probe = keys(F.col("line"), F.col("size"), radius)
     # the arrays stand in projections of their own, where lengths and segments are computed once; explode takes an expression
     # on them, as for a plain column Spark adds a filter that would compute the array a second time
-    left = tagged.select("doc", "hash", probe.alias("keys")).select("doc", "hash", F.explode(F.array_distinct("keys")).alias("key"))
-    right = tagged.select(F.col("doc").alias("doc2"), F.col("hash").alias("hash2"), index.alias("keys")).select(
-        "doc2", "hash2", F.explode(F.array_distinct("keys")).alias("key"))
-    met = left.join(right, "key").where("doc <> doc2 OR hash <> hash2")
+    left = tagged.select("doc", "hash", "sign", probe.alias("keys")).select("doc", "hash", "sign", F.explode(F.array_distinct("keys")).alias("key"))
+    right = tagged.select(F.col("doc").alias("doc2"), F.col("hash").alias("hash2"), F.col("sign").alias("sign2"), index.alias("keys")).select(
+        "doc2", "hash2", "sign2", F.explode(F.array_distinct("keys")).alias("key"))
+    # the counts of letters are compared inside the join: variants of one line that share a segment but differ in a word
+    # are not made into rows
+    met = left.join(right, "key").where("doc <> doc2 OR hash <> hash2").where(may_link(F.col("sign"), F.col("sign2"), radius))
     ahead = F.struct("doc", "hash") < F.struct("doc2", "hash2")
     pick = lambda x, y: F.when(ahead, F.col(x)).otherwise(F.col(y))
     pairs = stored(met.select(pick("doc", "doc2").alias("doc_a"), pick("hash", "hash2").alias("hash_a"),

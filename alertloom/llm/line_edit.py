@@ -74,7 +74,8 @@ def may_link(a: Column, b: Column, radius: int) -> Column:
     takes one at most. Counts of other letters, and of other scripts, say nothing and let the pair through."""
     more = fewer = F.lit(0).cast("long")
     for k in range(len(LETTERS)):
-        gap = (F.shiftrightunsigned(a, 8 * k) - F.shiftrightunsigned(b, 8 * k)).bitwiseAND(F.lit(255))
+        one, two = (F.shiftrightunsigned(sign, 8 * k).bitwiseAND(F.lit(255)) for sign in (a, b))
+        gap = (one - two).bitwiseAND(F.lit(255))
         more = more + F.when(gap < 128, gap).otherwise(0)
         fewer = fewer + F.when(gap < 128, 0).otherwise(256 - gap)
     return (more <= radius) & (fewer <= radius)

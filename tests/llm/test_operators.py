@@ -148,6 +148,17 @@ def test_line_links(spark, radius):
     assert got == collections.Counter(frozenset((a, b)) for k, a in enumerate(lines) for b in lines[:k] if edits(a, b) <= radius)
 
 
+def test_letter_counts_wrap(spark):
+    """Counts beyond 127 and 255 of a letter neither overflow nor part lines within the radius."""
+    body = "0123456789" * 3
+    lines = [body + letter * n + "-" * 20 for letter in "er" for n in (0, 127, 128, 129, 255, 256, 257, 300)]
+    found = {(a, b) for k, a in enumerate(lines) for b in lines[k + 1:] if a != b and edits(a, b) <= 2}
+    frame = spark.createDataFrame([(k, line) for k, line in enumerate(dict.fromkeys(lines))], "doc long, line string")
+    names = dict(enumerate(dict.fromkeys(lines)))
+    got = {frozenset((names[r.doc_a], names[r.doc_b])) for r in line_edit.links(frame, 2).collect()}
+    assert got == {frozenset(pair) for pair in found} and len(got) == 12
+
+
 def test_line_dedup(spark, empty):
     rows = [(1, "first long line here\nshort\nfirst long line here\nown line of one"), (2, "first long line here\nshort\nfirst long lime here"), (3, "short"),
             (4, None), (5, ""), (None, "first long line here"), (6, "own line of 1ne\n\ntail")]

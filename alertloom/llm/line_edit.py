@@ -31,9 +31,9 @@ def own_lines(text: Column, least: int) -> Column:
 
 
 def distinct_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """``line, doc, n_docs``: each line with the smallest doc_id that holds it."""
+    """``line, sign, doc, n_docs``: each line with its letter counts and the smallest doc_id that holds it."""
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(own_lines(F.col("text").cast("string"), least)).alias("line"))
-    return rows.groupBy("line").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n_docs"))
+    return rows.groupBy("line", letters(F.col("line")).alias("sign")).agg(F.min("doc_id").alias("doc"), F.count("*").alias("n_docs"))
 
 
 def segment(size: Column, radius: int, k: int) -> tuple[Column, Column]:
@@ -125,8 +125,10 @@ def bit_of(value: Column, bit: Column) -> Column:
 
 
 def links(lines: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Pairs ``doc_a, hash_a, doc_b, hash_b`` of different lines within the radius, each once. Lines need ``radius + 1`` characters."""
-    tagged = lines.select("doc", F.xxhash64("line").alias("hash"), "line", F.length("line").alias("size"), letters(F.col("line")).alias("sign"))
+    """Pairs ``doc_a, hash_a, doc_b, hash_b`` of different lines within the radius, each once. Lines need ``radius + 1`` characters.
+    Their letter counts are taken from ``sign`` where they come with them."""
+    sign = F.col("sign") if "sign" in lines.columns else letters(F.col("line")).alias("sign")
+    tagged = lines.select("doc", F.xxhash64("line").alias("hash"), "line", F.length("line").alias("size"), sign)
     index, probe = keys(F.col("line"), F.col("size"), radius)
     # the arrays stand in projections of their own, where lengths and segments are computed once; explode takes an expression
     # on them, as for a plain column Spark adds a filter that would compute the array a second time

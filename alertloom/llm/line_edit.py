@@ -30,10 +30,14 @@ def own_lines(text: Column, least: int) -> Column:
     return F.filter(F.array_distinct(F.split(text, "\n", -1)), lambda line: F.length(line) >= least)
 
 
-def distinct_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """``line, sign, doc, n_docs``: each line with its letter counts and the smallest doc_id that holds it."""
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(own_lines(F.col("text").cast("string"), least)).alias("line"))
-    return rows.groupBy("line", letters(F.col("line")).alias("sign")).agg(F.min("doc_id").alias("doc"), F.count("*").alias("n_docs"))
+def line_rows(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """``doc, line``: the distinct lines of every row that has a doc_id."""
+    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), F.explode(own_lines(F.col("text").cast("string"), least)).alias("line"))
+
+
+def distinct_lines(rows: DataFrame) -> DataFrame:
+    """``line, sign``: each line of ``rows(doc, line)`` with its letter counts."""
+    return rows.groupBy("line", letters(F.col("line")).alias("sign")).agg(F.lit(1).alias("one")).drop("one")
 
 
 def segment(size: Column, radius: int, k: int) -> tuple[Column, Column]:
@@ -124,48 +128,48 @@ def bit_of(value: Column, bit: Column) -> Column:
     return F.call_function("getbit", value, bit).cast("long")
 
 
-def links(lines: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Pairs ``doc_a, hash_a, doc_b, hash_b`` of different lines within the radius, each once. Lines need ``radius + 1`` characters.
-    Their letter counts are taken from ``sign`` where they come with them."""
-    sign = F.col("sign") if "sign" in lines.columns else letters(F.col("line")).alias("sign")
-    tagged = lines.select("doc", F.xxhash64("line").alias("hash"), "line", F.length("line").alias("size"), sign)
+def links(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Pairs ``doc_a, hash_a, doc_b, hash_b`` of different lines of ``rows(doc, line)`` within the radius, each once; doc is the
+    smallest that holds the line. Lines need ``radius + 1`` characters."""
+    tagged = distinct_lines(rows).select(F.xxhash64("line").alias("hash"), "line", F.length("line").alias("size"), "sign")
     index, probe = keys(F.col("line"), F.col("size"), radius)
     # the arrays stand in projections of their own, where lengths and segments are computed once; explode takes an expression
     # on them, as for a plain column Spark adds a filter that would compute the array a second time
-    left = tagged.select("doc", "hash", "sign", probe.alias("keys")).select("doc", "hash", "sign", F.explode(F.array_distinct("keys")).alias("key"))
-    right = tagged.select(F.col("doc").alias("doc2"), F.col("hash").alias("hash2"), F.col("sign").alias("sign2"), index.alias("keys")).select(
-        "doc2", "hash2", "sign2", F.explode(F.array_distinct("keys")).alias("key"))
+    left = tagged.select("hash", "sign", probe.alias("keys")).select("hash", "sign", F.explode(F.array_distinct("keys")).alias("key"))
+    right = tagged.select(F.col("hash").alias("hash2"), F.col("sign").alias("sign2"), index.alias("keys")).select(
+        "hash2", "sign2", F.explode(F.array_distinct("keys")).alias("key"))
     # the counts of letters are compared inside the join: variants of one line that share a segment but differ in a word
     # are not made into rows
-    met = left.join(right, "key").where("doc <> doc2 OR hash <> hash2").where(may_link(F.col("sign"), F.col("sign2"), radius))
-    ahead = F.struct("doc", "hash") < F.struct("doc2", "hash2")
-    pick = lambda x, y: F.when(ahead, F.col(x)).otherwise(F.col(y))
-    pairs = stored(met.select(pick("doc", "doc2").alias("doc_a"), pick("hash", "hash2").alias("hash_a"),
-                              pick("doc2", "doc").alias("doc_b"), pick("hash2", "hash").alias("hash_b")).distinct(), "pairs")
+    met = left.join(right, "key").where("hash <> hash2").where(may_link(F.col("sign"), F.col("sign2"), radius))
+    pairs = stored(met.select(F.least("hash", "hash2").alias("hash_a"), F.greatest("hash", "hash2").alias("hash_b")).distinct(), "pairs")
     # the texts of candidate lines only: a bitmap of 2 ** SLOTS bits in 2 ** (SLOTS - 6) rows, whatever the number of pairs,
     # lets the others go before anything is shuffled; a line that it lets through by chance meets no pair
     slot = lambda h: F.pmod(F.col(h), F.lit(1 << SLOTS))
     wanted = pairs.select(F.explode(F.array("hash_a", "hash_b")).alias("hash")).select(slot("hash").alias("s"))
     bits = stored(wanted.groupBy(F.shiftright("s", 6).alias("page")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits")), "bits")
-    texts = (tagged.withColumn("s", slot("hash")).withColumn("page", F.shiftright("s", 6)).join(F.broadcast(bits), "page")
-             .where(bit_of(F.col("bits"), F.expr("cast(s % 64 as int)")) == 1).select("doc", "hash", "line"))
+    texts = (rows.select("doc", "line", F.xxhash64("line").alias("hash")).withColumn("s", slot("hash")).withColumn("page", F.shiftright("s", 6))
+             .join(F.broadcast(bits), "page").where(bit_of(F.col("bits"), F.expr("cast(s % 64 as int)")) == 1)
+             .groupBy("hash", "line").agg(F.min("doc").alias("doc")))
     texts = stored(texts, "texts")
-    a = texts.select(F.col("doc").alias("doc_a"), F.col("hash").alias("hash_a"), F.col("line").alias("line_a"))
-    b = texts.select(F.col("doc").alias("doc_b"), F.col("hash").alias("hash_b"), F.col("line").alias("line_b"))
-    both = pairs.join(a, ["doc_a", "hash_a"]).join(b, ["doc_b", "hash_b"])
-    return both.where(distance(F.col("line_a"), F.col("line_b"), radius) <= radius).select("doc_a", "hash_a", "doc_b", "hash_b")
+    a, b = (texts.select(*[F.col(c).alias(f"{c}_{side}") for c in ("doc", "hash", "line")]) for side in "ab")
+    both = pairs.join(a, "hash_a").join(b, "hash_b")
+    found = both.where(distance(F.col("line_a"), F.col("line_b"), radius) <= radius)
+    ahead = F.struct("doc_a", "hash_a") < F.struct("doc_b", "hash_b")
+    pick = lambda c, x, y: F.when(ahead, F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}"))
+    return found.select(*[pick(c, *sides).alias(f"{c}_{sides[0]}") for sides in ("ab", "ba") for c in ("doc", "hash")])
 
 
 def decisions(docs: DataFrame, radius: int = RADIUS, least: int = LEAST) -> DataFrame:
     """Lines with something to say: ``h1, h2`` (hashes), the first document, whether the line goes as a near copy, and its links."""
     if not 0 < radius < 31 or least <= radius:
         raise ValueError("the radius must be from 1 to 30 and lines longer than it")
-    lines = distinct_lines(docs, least)
-    found = stored(links(lines, radius), "links")
+    rows = line_rows(docs, least)
+    found = stored(links(rows, radius), "links")
     ends = found.select(F.col("doc_a").alias("doc"), F.col("hash_a").alias("h1"), F.lit(0).alias("near")).unionByName(
         found.select(F.col("doc_b").alias("doc"), F.col("hash_b").alias("h1"), F.lit(1).alias("near")))
     linked = ends.groupBy("doc", "h1").agg(F.max("near").alias("near"), F.count("*").alias("n_links"))
-    coded = lines.select("doc", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "n_docs")
+    coded = (rows.select("doc", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+             .groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.count("*").alias("n_docs")))
     return stored(coded.join(linked, ["doc", "h1"], "left").where("n_docs > 1 OR n_links > 0")
                   .select("h1", "h2", "doc", F.coalesce("near", F.lit(0)).alias("near"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "decisions")
 

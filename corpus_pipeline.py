@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from alertloom.llm import bpe_prefix, line_edit, pfair_mix, quality_ratio, simhash_tiles
+from alertloom.llm import bpe_prefix, line_edit, pfair_mix, quality_ratio, simhash_jaccard
 from alertloom.llm.common import stored
 from alertloom.session import prepare
 
@@ -21,9 +21,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies."""
+    """The first document of each group of near copies: five-word shingles, Jaccard similarity 0.8 or more."""
     prepare(spark)
-    return simhash_tiles.keep_first(docs)
+    return simhash_jaccard.keep_similar(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

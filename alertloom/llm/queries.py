@@ -60,7 +60,7 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return pfair_mix.schedule(docs).select("doc_id", "source", "_mix.*")
+    return pfair_mix.schedule(docs, most_sources=None).select("doc_id", "source", "_mix.*")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,14 @@
 """Whole jobs: cases that a cut would lose."""
 from __future__ import annotations
 
+import collections
 import random
+from fractions import Fraction
+
+from pyspark.sql import functions as F
 
-from alertloom.llm import simhash_jaccard
 import corpus_pipeline
+from alertloom.llm import pfair_mix, simhash_jaccard
 
 SF = "/root/testdata/sf0.001"
 
@@ -50,3 +54,29 @@ def test_stage_links_pairs_from_80_percent(spark):
         assert len(kept) == len(want) + 1 and set(kept) == want | {None}
     stage = dict(corpus_pipeline.STAGES)["SimHash near-dedup"]
     assert {r.doc_id for r in stage(spark, docs, SF).collect()} == want | {None}
+
+
+def test_mix_follows_the_given_weights():
+    """In every prefix of the first phase each source is less than a block from its exact share, across ranges."""
+    rnd = random.Random(3)
+    cases = [{f"s{k}": 0.5 if k == 0 else 0.5 / 19 * rnd.uniform(0.5, 1.5) for k in range(20)}, {"a": 1 / 3, "b": 2 / 3 - 0.0005, "c": 0.0005},
+             {f"s{k}": (k + 1) ** 0.5 for k in range(40)}, {f"s{k}": rnd.random() ** 4 + 0.02 for k in range(60)}, {f"s{k}": 1.0 for k in range(257)}]
+    for weights in cases:
+        shares = [*pfair_mix.whole(weights).values()]
+        phase = pfair_mix.Phase([*weights], shares, [0] * len(shares), 0, 6000)
+        total, taken, at = sum(map(Fraction, weights.values())), collections.Counter(), 0
+        n = pfair_mix.ranges(phase, 16)
+        for nth in range(n):
+            for s, block, slot, release, deadline in pfair_mix.dealt(phase, nth, 16):
+                assert block == taken[s] and slot == at and release <= slot < deadline
+                taken[s] += 1
+                at += 1
+                if at % 7 == 0 or at < 300:
+                    assert all(abs(taken[x] - Fraction(w) / total * at) < 1 for x, w in weights.items())
+        assert at == 6000 and (n > 1 or len(weights) == 3)
+
+
+def test_mix_takes_many_sources(spark):
+    rows = spark.range(900).select(F.col("id").alias("doc_id"), (F.col("id") % 300).cast("string").alias("source"))
+    got = pfair_mix.schedule(rows, block=2, most_sources=None).select("_mix.*").collect()
+    assert len(got) == 900 and sorted({r.slot for r in got}) == list(range(600))

@@ -239,8 +239,11 @@ def slices(batch: pa.RecordBatch, most: int = 8_000_000) -> Iterator[pa.RecordBa
             yield batch.slice(a, b - a)
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Per row ``doc_id, n_tokens, ids_sha256, decoded_sha256``: encode each whole text, then decode the ids."""
+def round_trip(docs: DataFrame, path: str, pattern: str, carry: str | None = None) -> DataFrame:
+    """Per row ``doc_id, n_tokens, ids_sha256, decoded_sha256``: encode each whole text, then decode the ids. ``carry`` names a
+    column of longs that is returned as well."""
+    extra = [carry] if carry else []
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = ranks(path, pattern)
         cache = coder(vocabulary)
@@ -255,9 +258,10 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 one.append(hashlib.sha256(own.tobytes()).hexdigest())
                 two.append(hashlib.sha256(b"".join(map(table.__getitem__, own.tolist()))).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(one, pa.string()),
-                                              pa.array(two, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                                              pa.array(two, pa.string()), *batch.columns[2:]],
+                                             names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *extra])
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *[F.col(f"`{c}`").cast("long") for c in extra]).mapInArrow(
+        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + "".join(f", `{c}` long" for c in extra))
 
 
 def encode_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:

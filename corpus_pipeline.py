@@ -33,9 +33,11 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, checked by decoding: number and digests."""
+    """Token ids of every document, checked by decoding: number, digests and the place that mixing gave it.
+
+    ``docs`` must be read from the files that the mixing stage wrote: their numbers and rows hold the places."""
     prepare(spark)
-    return bpe_prefix.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe_prefix.round_trip(pfair_mix.places(docs), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, "place")
 
 
 STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("SimHash near-dedup", simhash_near_dedup),

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import collections
+import functools
 import random
 from fractions import Fraction
 
@@ -80,3 +81,19 @@ def test_mix_takes_many_sources(spark):
     rows = spark.range(900).select(F.col("id").alias("doc_id"), (F.col("id") % 300).cast("string").alias("source"))
     got = pfair_mix.schedule(rows, block=2, most_sources=None).select("_mix.*").collect()
     assert len(got) == 900 and sorted({r.slot for r in got}) == list(range(600))
+
+
+def test_mixing_decides_places(spark, monkeypatch, tmp_path):
+    """The last stage returns the places of the schedule, however the files are read; other weights give other places."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("source", F.when(F.col("doc_id") % 4 == 0, "a").otherwise("b")).coalesce(1)
+    docs.write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    stages, whole, found = dict(corpus_pipeline.STAGES), pfair_mix.mixed, []
+    for k, alpha in enumerate((0.5, 3.0)):
+        monkeypatch.setattr(pfair_mix, "mixed", functools.partial(whole, alpha=alpha))
+        stages["mixing sources to target weights"](spark, docs, SF).write.parquet(f"{tmp_path}/{k}")
+        got = stages["byte-level BPE encoding and decoding"](spark, spark.read.parquet(f"{tmp_path}/{k}"), SF)
+        found.append({r.doc_id: r.place for r in got.collect()})
+        slots = pfair_mix.schedule(docs, alpha=alpha).orderBy("_mix.slot", "_mix.place").select("doc_id").collect()
+        assert found[-1] == {r.doc_id: n for n, r in enumerate(slots)}
+    assert found[0] != found[1]

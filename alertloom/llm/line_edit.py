@@ -1,6 +1,7 @@
 """Line dedup by a segment-partition edit join.
 
-Lines of at least ``least`` characters take part. Equal lines are folded first. A line is cut into ``radius + 1`` even
+Lines of at least ``least`` characters take part; with ``fold`` all lines that are not blank and have so many characters are
+folded when equal, and only the longer ones are compared by edits. Equal lines are folded first. A line is cut into ``radius + 1`` even
 segments; within the radius one of them must stand unchanged in the other line, at a start that lengths and segment number
 bound. Keys are the hash of (length, segment number, segment), probes the same of the substrings that a longer or equal line
 may hold. Candidate pairs are verified by a banded bit-parallel edit distance of 2 * radius + 1 bits, one step per character.
@@ -17,22 +18,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertloom.llm.common import let, stored
+from alertloom.llm.common import components, let, stored
 
 RADIUS = 2
 LEAST = 24
+FOLD = 1
 SLOTS = 23
 LETTERS = "etaoinsr"
 
 
-def own_lines(text: Column, least: int) -> Column:
+def takes_part(line: Column, least: int, fold: int | None) -> Column:
+    return F.length(line) >= least if fold is None else (F.length(line) >= fold) & line.rlike("[^\\x20\\x09-\\x0D]")
+
+
+def own_lines(text: Column, least: int, fold: int | None = None) -> Column:
     """Distinct lines of a text that take part."""
-    return F.filter(F.array_distinct(F.split(text, "\n", -1)), lambda line: F.length(line) >= least)
+    return F.filter(F.array_distinct(F.split(text, "\n", -1)), lambda line: takes_part(line, least, fold))
 
 
-def line_rows(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def line_rows(docs: DataFrame, least: int = LEAST, fold: int | None = None) -> DataFrame:
     """``doc, line``: the distinct lines of every row that has a doc_id."""
-    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), F.explode(own_lines(F.col("text").cast("string"), least)).alias("line"))
+    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), F.explode(own_lines(F.col("text").cast("string"), least, fold)).alias("line"))
 
 
 def distinct_lines(rows: DataFrame) -> DataFrame:
@@ -159,54 +165,77 @@ def links(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
     return found.select(*[pick(c, *sides).alias(f"{c}_{sides[0]}") for sides in ("ab", "ba") for c in ("doc", "hash")])
 
 
-def decisions(docs: DataFrame, radius: int = RADIUS, least: int = LEAST) -> DataFrame:
-    """Lines with something to say: ``h1, h2`` (hashes), the first document, whether the line goes as a near copy, and its links."""
+def line_links(docs: DataFrame, radius: int, least: int, fold: int | None) -> DataFrame:
+    """The written links between the lines of at least ``least`` characters."""
     if not 0 < radius < 31 or least <= radius:
         raise ValueError("the radius must be from 1 to 30 and lines longer than it")
-    rows = line_rows(docs, least)
-    found = stored(links(rows, radius), "links")
+    return stored(links(line_rows(docs, least, fold).where(F.length("line") >= least), radius), "links")
+
+
+def decisions(docs: DataFrame, found: DataFrame, least: int = LEAST, fold: int | None = None) -> DataFrame:
+    """Lines with something to say: ``h1, h2`` (hashes), the first document, whether the line goes as a near copy, its links, and
+    whether it has ``least`` characters."""
+    rows = line_rows(docs, least, fold)
     ends = found.select(F.col("doc_a").alias("doc"), F.col("hash_a").alias("h1"), F.lit(0).alias("near")).unionByName(
         found.select(F.col("doc_b").alias("doc"), F.col("hash_b").alias("h1"), F.lit(1).alias("near")))
     linked = ends.groupBy("doc", "h1").agg(F.max("near").alias("near"), F.count("*").alias("n_links"))
-    coded = (rows.select("doc", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
-             .groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.count("*").alias("n_docs")))
+    coded = (rows.select("doc", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), (F.length("line") >= least).alias("long"))
+             .groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.count("*").alias("n_docs"), F.max("long").alias("long")))
     return stored(coded.join(linked, ["doc", "h1"], "left").where("n_docs > 1 OR n_links > 0")
-                  .select("h1", "h2", "doc", F.coalesce("near", F.lit(0)).alias("near"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "decisions")
+                  .select("h1", "h2", "doc", F.coalesce("near", F.lit(0)).alias("near"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "long"), "decisions")
 
 
-def losses(docs: DataFrame, radius: int = RADIUS, least: int = LEAST) -> DataFrame:
-    """Per document with such lines: ``doc_id, gone`` (h1, h2 of the lines it loses), n_equal, n_near, n_links."""
-    told = decisions(docs, radius, least)
-    held = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.transform(own_lines(F.col("text").cast("string"), least), lambda line: F.struct(
+def told_lines(docs: DataFrame, found: DataFrame, least: int, fold: int | None) -> DataFrame:
+    """Every document's lines with something to say: ``doc_id`` and the columns of ``decisions``."""
+    told = decisions(docs, found, least, fold)
+    held = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.transform(own_lines(F.col("text").cast("string"), least, fold), lambda line: F.struct(
         F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2")))).alias("l"))
-    rows = held.select("doc_id", "l.h1", "l.h2").join(told, ["h1", "h2"])
+    return held.select("doc_id", "l.h1", "l.h2").join(told, ["h1", "h2"])
+
+
+def losses(told: DataFrame) -> DataFrame:
+    """Per document with such lines: ``doc_id, gone`` (h1, h2 of the lines it loses), n_equal, n_near, n_links."""
     equal = F.col("doc") != F.col("doc_id")
-    rows = rows.groupBy("doc_id", "h1", "h2").agg(F.max(equal.cast("int")).alias("equal"), F.max("near").alias("near"), F.max("n_links").alias("n_links"))
+    rows = told.groupBy("doc_id", "h1", "h2").agg(F.max(equal.cast("int")).alias("equal"), F.max("near").alias("near"), F.max("n_links").alias("n_links"))
     goes = (F.col("equal") == 1) | (F.col("near") == 1)
     return rows.groupBy("doc_id").agg(
         F.collect_list(F.when(goes, F.struct("h1", "h2"))).alias("gone"), F.sum("equal").alias("n_equal"),
         F.sum(F.when(F.col("equal") == 0, F.col("near")).otherwise(0)).alias("n_near"), F.sum("n_links").alias("n_links"))
 
 
-def report(docs: DataFrame, radius: int = RADIUS, least: int = LEAST) -> DataFrame:
-    """One row per document: ``doc_id, n_lines`` (all), ``n_inner`` (repeats inside the text), ``n_equal`` (lines that an earlier
-    document has), ``n_near`` (other lines that link to an earlier line), ``n_links`` (links of its lines)."""
+def counts(docs: DataFrame, told: DataFrame, least: int, fold: int | None) -> DataFrame:
+    """The columns of ``report``."""
     lines = F.split(F.col("text").cast("string"), "\n", -1)
-    long_ = lambda column: F.filter(column, lambda line: F.length(line) >= least)
-    inner = let(long_(lines), lambda own: F.size(own) - F.size(F.array_distinct(own)))
+    inner = let(F.filter(lines, lambda line: takes_part(line, least, fold)), lambda own: F.size(own) - F.size(F.array_distinct(own)))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
                        F.when(F.col("doc_id").isNull() | F.col("text").isNull(), 0).otherwise(inner).cast("long").alias("n_inner"))
-    lost = losses(docs, radius, least).drop("gone")
-    return base.join(lost, "doc_id", "left").select("doc_id", "n_lines", "n_inner", *[
+    return base.join(losses(told).drop("gone"), "doc_id", "left").select("doc_id", "n_lines", "n_inner", *[
         F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_equal", "n_near", "n_links")])
 
 
-def dedup(docs: DataFrame, radius: int = RADIUS, least: int = LEAST) -> DataFrame:
+def report(docs: DataFrame, radius: int = RADIUS, least: int = LEAST, fold: int | None = None) -> DataFrame:
+    """One row per document: ``doc_id, n_lines`` (all), ``n_inner`` (repeats inside the text), ``n_equal`` (lines that an earlier
+    document has), ``n_near`` (other lines that link to an earlier line), ``n_links`` (links of its lines)."""
+    return counts(docs, told_lines(docs, line_links(docs, radius, least, fold), least, fold), least, fold)
+
+
+def classes(docs: DataFrame, radius: int = RADIUS, least: int = LEAST, fold: int | None = None) -> DataFrame:
+    """``report`` with ``class_id``: the smallest document that equal lines of ``least`` characters and line links reach. Shorter
+    equal lines are counted but hold no class together; a null doc_id has no class."""
+    found = line_links(docs, radius, least, fold)
+    told = stored(told_lines(docs, found, least, fold), "told")
+    edges = told.where("long AND doc <> doc_id").select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
+    roots = components(edges.unionByName(found.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))))
+    named = counts(docs, told, least, fold).join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
+    return named.withColumn("class_id", F.coalesce("root", "doc_id")).drop("root")
+
+
+def dedup(docs: DataFrame, radius: int = RADIUS, least: int = LEAST, fold: int | None = None) -> DataFrame:
     """The documents with the lines that stay."""
-    lost = losses(docs, radius, least).select(F.col("doc_id").alias("_doc"), F.col("gone").alias("_gone"))
+    lost = losses(told_lines(docs, line_links(docs, radius, least, fold), least, fold)).select(F.col("doc_id").alias("_doc"), F.col("gone").alias("_gone"))
 
     def kept(lines: Column, gone: Column) -> Column:
-        first = F.filter(F.transform(lines, lambda line, i: F.struct(line.alias("line"), i.alias("i"))), lambda e: (F.length(e["line"]) < least) | (
+        first = F.filter(F.transform(lines, lambda line, i: F.struct(line.alias("line"), i.alias("i"))), lambda e: ~takes_part(e["line"], least, fold) | (
             (F.array_position(lines, e["line"]) == e["i"] + 1) & ~F.array_contains(gone, F.struct(F.xxhash64(e["line"]).alias("h1"), F.xxhash64(F.lit(1), e["line"]).alias("h2")))))
         return F.array_join(F.transform(first, lambda e: e["line"]), "\n")
     none = F.array().cast("array<struct<h1:bigint,h2:bigint>>")

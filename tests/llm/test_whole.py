@@ -9,7 +9,7 @@ from fractions import Fraction
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from alertloom.llm import pfair_mix, simhash_jaccard
+from alertloom.llm import line_edit, pfair_mix, simhash_jaccard
 
 SF = "/root/testdata/sf0.001"
 
@@ -97,3 +97,22 @@ def test_mixing_decides_places(spark, monkeypatch, tmp_path):
         slots = pfair_mix.schedule(docs, alpha=alpha).orderBy("_mix.slot", "_mix.place").select("doc_id").collect()
         assert found[-1] == {r.doc_id: n for n, r in enumerate(slots)}
     assert found[0] != found[1]
+
+
+LINES = [(1, "a long enough line of one\nshort\n\nshort\n  "), (2, "a long enough line of 1ne\nshort\n\n  "), (3, "another line that two have\nx"),
+         (4, "short\nown line, only in four"), (5, "y\nanother line that two have"), (7, "a long enough line of 1n\n"), (None, "short"), (9, None)]
+
+
+def test_short_equal_lines_go(spark):
+    docs = spark.createDataFrame(LINES, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_edit.dedup(docs, 1, 20, fold=1).collect()}
+    assert got == {1: "a long enough line of one\nshort\n\n  ", 2: "\n  ", 3: "another line that two have\nx", 4: "own line, only in four",
+                   5: "y", 7: "", None: "short", 9: None}
+
+
+def test_line_classes(spark):
+    """Class ids from equal lines and from chains of links; counts of short equal lines without classes by them."""
+    docs = spark.createDataFrame(LINES, "doc_id long, text string")
+    got = {r.doc_id: (r.n_inner, r.n_equal, r.n_near, r.n_links, r.class_id) for r in line_edit.classes(docs, 1, 20, fold=1).collect()}
+    assert got == {1: (1, 0, 0, 1, 1), 2: (0, 1, 1, 2, 1), 3: (0, 0, 0, 0, 3), 4: (0, 1, 0, 0, 4), 5: (0, 1, 0, 0, 3), 7: (0, 0, 1, 1, 1),
+                   None: (0, 0, 0, 0, None), 9: (0, 0, 0, 0, 9)}

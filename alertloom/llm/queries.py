@@ -30,7 +30,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_edit.classes(table(spark, sf_dir, "documents"))
+    return line_edit.classes(table(spark, sf_dir, "documents"), fold=line_edit.FOLD)
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

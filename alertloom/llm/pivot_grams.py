@@ -14,7 +14,7 @@ pointer doubling: counts grow by ``ratio`` at each step, which bounds the rounds
 
 Defined cases: a null or empty text holds no words; a null doc_id reads as the empty text in the checksum; repeated rows are
 counted again; ties between forms go to the smallest word in code-point order; an empty table gives no rows; other columns are
-ignored. A run of any length is one word, its keys are linear in its length.
+ignored. A run of any length is one word, and its keys are linear in its length.
 """
 from __future__ import annotations
 
@@ -35,6 +35,7 @@ LETTERS = "A-Za-zÀ-ÿ"
 UPPER = {c: c + 32 for c in range(65, 91)}
 CONTEXT = 8
 HELD = 200_000
+LONG = 64  # longer words are joined by their hash and their texts compared afterwards, as they have many keys
 SPOILT = 31
 
 
@@ -136,13 +137,23 @@ def near_pairs(words: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array([m[0] for m in made], pa.int32()), *[
                 pa.array([m[k] for m in made], pa.list_(pa.string())) for k in (1, 2)]], names=["word", "n", "last", "held", "asked"])
     signed = stored(words.select("word", "n").mapInArrow(run, "word string, n long, last int, held array<string>, asked array<string>"), "grams")
-    held = signed.select("word", "n", "last", F.explode("held").alias("text")).select("word", "n", "last", F.xxhash64("text").alias("key"))
-    asked = signed.select(F.col("word").alias("word2"), F.col("n").alias("n2"), F.col("last").alias("last2"), F.explode("asked").alias("text")).select(
-        "word2", "n2", "last2", F.xxhash64("text").alias("key"))
-    met = held.join(asked, "key").where("last2 <= last AND word <> word2").where(F.levenshtein("word", "word2", 1) == 1)
+    short = F.when(F.length("word") <= LONG, F.col("word"))
+    code = F.when(F.length("word") > LONG, F.xxhash64("word"))
+    rows = signed.select(short.alias("word"), code.alias("id"), "n", "last", "held", "asked")
+    held = rows.select("word", "id", "n", "last", F.explode("held").alias("text")).select("word", "id", "n", "last", F.xxhash64("text").alias("key"))
+    asked = rows.select(F.col("word").alias("word2"), F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("last").alias("last2"), F.explode("asked").alias("text")).select(
+        "word2", "id2", "n2", "last2", F.xxhash64("text").alias("key"))
+    both = F.col("word").isNotNull() & F.col("word2").isNotNull()
+    other = ~F.col("word").eqNullSafe(F.col("word2")) | ~F.col("id").eqNullSafe(F.col("id2"))
+    met = stored(held.join(asked, "key").where(F.col("last2") <= F.col("last")).where(F.when(both, F.levenshtein("word", "word2", 1) == 1).otherwise(other))
+                 .select("word", "id", "n", "word2", "id2", "n2").distinct(), "met")
+    texts = signed.where(F.length("word") > LONG).select(F.xxhash64("word").alias("id"), F.col("word").alias("text"))
+    far = (met.where(~both).join(texts, "id", "left").join(texts.select(F.col("id").alias("id2"), F.col("text").alias("text2")), "id2", "left")
+           .select(F.coalesce("word", "text").alias("word"), "n", F.coalesce("word2", "text2").alias("word2"), "n2").where(F.levenshtein("word", "word2", 1) == 1))
     swap = F.col("word") > F.col("word2")
     pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
-    return met.select(pick("word", "word2").alias("a"), pick("n", "n2").alias("n_a"), pick("word2", "word").alias("b"), pick("n2", "n").alias("n_b")).distinct()
+    return met.where(both).select("word", "n", "word2", "n2").unionByName(far).select(
+        pick("word", "word2").alias("a"), pick("n", "n2").alias("n_a"), pick("word2", "word").alias("b"), pick("n2", "n").alias("n_b")).distinct()
 
 
 def forms(words: DataFrame, ratio: int = 10) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from alertloom.llm import (arrow_sequences, avi_clips, bpe_prefix, line_edit, pfair_mix, pivot_grams, quality_ratio, secret_owners, simhash_tiles,
-                           sparse_suffix, warc_chain)
+from alertloom.llm import (arrow_sequences, avi_clips, bpe_prefix, fast_sketch, feast_whitening, line_edit, pfair_mix, pivot_grams, quality_ratio,
+                           secret_owners, simhash_tiles, sparse_suffix, warc_chain)
 from alertloom.session import prepare
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.tiktoken", "word_bpe_49k.json"
@@ -63,6 +63,14 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfair_mix.schedule(docs, most_sources=None).select("doc_id", "source", "_mix.*")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feast_whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fast_sketch.near_copies(table(spark, sf_dir, "documents"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_grams.groups(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
 
@@ -73,7 +81,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (op1_simhash, op2_quality_rules, op3_line_dedup, op4_suffix_array_dedup, op5_warc, op6_byte_bpe, op7_token_output,
-             op8_media_columns, op9_secret_scans, op10_source_mix, op13_spelling_variants, pipeline)
+             op8_media_columns, op9_secret_scans, op10_source_mix, op11_embedding_whitening, op12_minhash, op13_spelling_variants, pipeline)
     return {fn.__name__: fn for fn in every}
 
 

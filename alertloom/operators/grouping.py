@@ -4,6 +4,10 @@ Only start times matter for grouping, so incidents are counted per second first;
 """
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -45,44 +49,102 @@ def largest_storm(candidates: DataFrame, cfg: Settings = Settings()) -> DataFram
             .select("id", "host", "severity", "started_at"))
 
 
-def _rounds(per_second: DataFrame, window: int, count: int) -> DataFrame | None:
-    """Seconds with the start of the burst that takes them, by repeated choice of all locally densest windows."""
+def certain_bursts(s: np.ndarray, n: np.ndarray, window: int, count: int, low: int | None, high: int | None) -> tuple[list[tuple[int, ...]], list[int]]:
+    """Bursts ``(start, starts in the window, from, to)`` that are sure from the seconds ``s`` with ``n`` starts each, and the
+    windows that stay in doubt.
+
+    ``low`` and ``high`` are the borders of what is known, None where nothing lies beyond. Windows are taken as in the whole
+    history, densest first, the earliest on a tie. What a window beyond a border may take is in doubt; a window that touches
+    seconds in doubt is not chosen, and what it might take is in doubt from then on. A window's count can only fall, so one
+    look at it when its turn comes is enough.
+    """
+    sums = np.concatenate([[0], np.cumsum(n)])
+    ends = np.searchsorted(s, s + window, "right")
+    first = sums[ends] - sums[:-1]
+    alive, doubt = np.ones(len(s), bool), np.zeros(len(s), bool)
+    if low is not None:
+        doubt[:np.searchsorted(s, low + 2 * window, "right")] = True
+    if high is not None:
+        doubt[np.searchsorted(s, high - 2 * window):] = True
+    turns = [(-int(c), k) for k, c in enumerate(first) if c >= count]
+    heapq.heapify(turns)
+    found, open_ = [], []
+    while turns:
+        told, k = heapq.heappop(turns)
+        if not alive[k]:
+            continue
+        inside = alive[k:ends[k]]
+        now = int(n[k:ends[k]][inside].sum())
+        if now < count:
+            continue
+        if now != -told:
+            heapq.heappush(turns, (-now, k))
+            continue
+        start, last = int(s[k]), int(s[k:ends[k]][inside][-1])
+        near = slice(*np.searchsorted(s, (start - window, start + 2 * window + 1)))
+        if doubt[near].any():
+            doubt[near] = True
+            open_.append(start)
+            continue
+        found.append((start, now, start - window, last + window))
+        alive[slice(*np.searchsorted(s, (start - window, last + window + 1)))] = False
+    return found, open_
+
+
+def _bursts(per_second: DataFrame, window: int, count: int, block: int) -> DataFrame | None:
+    """Seconds with the start of the burst that takes them.
+
+    A gap longer than the window ends all influence, so most of a history falls into islands. A block of time is one task,
+    which also reads the seconds ``margin`` around it and settles all but what depends on seconds further away: the densest
+    window left is always settled by its block. A round settles a chain of influence up to the next border, and a border has
+    room for a few bursts only, so the rounds are bounded by the blocks of the longest island, whatever the number of alerts.
+    """
+    spark, margin = per_second.sparkSession, 8 * window
+    own = F.floor(F.col("s") / block)
+
+    def settle(rows: pd.DataFrame) -> pd.DataFrame:
+        at = int(rows["block"].iloc[0])
+        rows = rows.sort_values("s")
+        s, n = rows["s"].to_numpy(), rows["n"].to_numpy()
+        low, high = at * block - margin, (at + 1) * block + margin
+        found, open_ = certain_bursts(s, n, window, count, low if rows["before"].any() else None, high if rows["after"].any() else None)
+        mine = [(at, *burst) for burst in found if burst[0] // block == at]
+        undecided = any(start // block == at for start in open_)
+        return pd.DataFrame([*mine, *([(at, None, None, None, None)] if undecided else [])], columns=["block", "burst", "n", "lo", "hi"]).astype("Int64")
     left, taken = per_second, []
-    reach = 2 * window
     while True:
-        dense = density(left, window)
-        own = F.floor(F.col("s") / reach)
-        spread = dense.withColumn("own", own).withColumn("bucket", F.explode(F.array(own - 1, own, own + 1)))
-        near = W.partitionBy("bucket").orderBy("s").rangeBetween(-reach, reach)
-        # a window that beats all it could disturb is what the one-by-one choice would take too
-        chosen = (spread.withColumn("best", F.max(F.struct(F.col("within"), -F.col("s"))).over(near))
-                  .where((F.col("bucket") == F.col("own")) & (F.col("within") >= count))
-                  .where(F.col("best") == F.struct(F.col("within"), -F.col("s")))
-                  .select((F.col("s") - window).alias("lo"), (F.col("last") + window).alias("hi"),
-                          F.struct(F.col("within"), (-F.col("s")).alias("o")).alias("rank")))
-        hit = (newest_cover(left.select("s"), chosen, window).where("best IS NOT NULL")
-               .select("s", (-F.col("best.o")).alias("burst")).checkpoint())
-        if hit.isEmpty():
+        # what lies just beyond the margins says whether the island goes on there
+        spread = left.withColumn("own", own).withColumn("block", F.explode(F.array(own - 1, own, own + 1))).where(
+            F.col("s").between(F.col("block") * block - margin - window, (F.col("block") + 1) * block + margin + window - 1))
+        marked = spread.withColumns({"before": F.col("s") < F.col("block") * block - margin, "after": F.col("s") >= (F.col("block") + 1) * block + margin})
+        flags = marked.select("block", "s", "n", "before", "after")
+        told = flags.groupBy("block").applyInPandas(settle, "block long, burst long, n long, lo long, hi long").checkpoint()
+        spans = told.where("burst IS NOT NULL")
+        hit = newest_cover(left.select("s"), spans.select("lo", "hi", F.struct("n", (-F.col("burst")).alias("o")).alias("rank")), window).where("best IS NOT NULL").select(
+            "s", (-F.col("best.o")).alias("burst")).checkpoint()
+        if not hit.isEmpty():
+            taken.append(hit)
+        rest = told.where("burst IS NULL").select(F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("own")).distinct()
+        if rest.isEmpty():
             break
-        taken.append(hit)
-        left = left.join(hit.select("s"), "s", "left_anti").checkpoint()
-    if not taken:
-        return None
-    out = taken[0]
-    for more in taken[1:]:
-        out = out.unionByName(more)
+        left = left.join(hit.select("s"), "s", "left_anti").withColumn("own", own).join(rest, "own", "left_semi").select("s", "n").checkpoint()
+    out = None
+    for part in taken:
+        out = part if out is None else out.unionByName(part)
     return out
 
 
-def storm_groups(candidates: DataFrame, cfg: Settings = Settings(), checkpoints: str | None = None) -> DataFrame:
+def storm_groups(candidates: DataFrame, cfg: Settings = Settings(), checkpoints: str | None = None, block: int = 1 << 20) -> DataFrame:
     """All bursts of a history. The densest window takes all that starts within ``window`` of its members; what is left
     is looked at again until no window holds ``storm_count``.
 
-    Every round takes all locally densest windows at once and cuts its lineage with a reliable checkpoint.
+    Candidates are folded to seconds; ``block`` seconds are settled by one task. Rounds are cut by reliable checkpoints.
     """
+    if block < 16 * cfg.storm_window:
+        raise ValueError("a block must be 16 windows long or more")
     checkpoint_dir(candidates.sparkSession, checkpoints)
     counted = _per_second(candidates).checkpoint()
-    found = _rounds(counted, cfg.storm_window, cfg.storm_count)
+    found = _bursts(counted, cfg.storm_window, cfg.storm_count, block)
     tagged = candidates.withColumn("s", seconds(F.col("started_at")))
     if found is None:
         return tagged.where("false").select("id", F.col("s").alias("burst"), "host", "severity", "started_at")

@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 from alertloom.plans import (q_collector, q_grouping, q_intake, q_manual, q_prompts, q_queue, q_records, q_reports,   # noqa: F401
-                             q_scalar, q_sources)
+                             q_scalar, q_sources, q_streams)
 from alertloom.plans import registry
 
 

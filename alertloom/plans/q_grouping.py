@@ -54,7 +54,17 @@ def _(t):
     return grouping.largest_storm(t.rolled, t.cfg)
 
 
-@query("storm_groups")
+# one burst a step: the densest window of what no burst has taken, the earliest on a tie
+@query("storm_groups", over("starts", sql="""
+WITH per AS (SELECT s, count(*) AS n FROM starts GROUP BY s),
+ahead AS (SELECT a.s, b.s AS t, b.n FROM per a JOIN per b ON b.s BETWEEN a.s AND a.s + 300),
+pick AS (SELECT 0 AS step, CAST([] AS STRUCT(s BIGINT, lo BIGINT, hi BIGINT)[]) AS taken
+  UNION ALL SELECT step + 1, list_append(any_value(taken), arg_max(struct_pack(s := s, lo := s - 300, hi := last + 300), within * 1000000000000 - s))
+  FROM (SELECT p.step, p.taken, q.s, CAST(sum(q.n) AS BIGINT) AS within, max(q.t) AS last FROM pick p JOIN ahead q
+    ON len(list_filter(p.taken, lambda x: (q.s BETWEEN x.lo AND x.hi) OR (q.t BETWEEN x.lo AND x.hi))) = 0 GROUP BY 1, 2, 3 HAVING sum(q.n) >= 5) w GROUP BY step),
+spans AS (SELECT unnest(taken) AS x, generate_subscripts(taken, 1) AS k FROM (SELECT taken FROM pick ORDER BY step DESC LIMIT 1) f)
+SELECT id, arg_min(x.s, k) AS burst, host, severity, started_at FROM starts JOIN spans ON s BETWEEN x.lo AND x.hi GROUP BY id, host, severity, started_at
+""").replace("WITH ", "WITH RECURSIVE ", 1))
 def _(t):
     return grouping.storm_groups(t.rolled, t.cfg)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from alertloom.functions.times import seconds
-from alertloom.operators.scans import carry
+from alertloom.operators.scans import carry, carry_state
 from alertloom.settings import PROBLEM, SECURITY, Settings
 
 HOUR = 3600
@@ -20,39 +20,36 @@ def failure_streaks(polls: DataFrame) -> DataFrame:
     A source polls one at a time, so an hour of one source is a small window; what came before is carried over.
     """
     bad, good = ~F.col("ok"), F.col("ok")
-    tagged = polls.withColumn("chunk", F.floor(seconds(F.col("at")) / HOUR)) \
-        .withColumn("mark", F.struct("at", "id")) \
-        .withColumn("_fail", F.when(bad, F.struct("at", "id", "position")))
-    key = ["source"]
-    one = F.lit(1).cast("bigint")
-    tagged = carry(tagged, key, "chunk", {
-        "polls0": (F.count("*"), F.sum), "last_fail0": (F.max("_fail"), F.max)})
-    run = W.partitionBy("source", "chunk").orderBy("at", "id").rowsBetween(W.unboundedPreceding, 0)
-    before = W.partitionBy("source", "chunk").orderBy("at", "id").rowsBetween(W.unboundedPreceding, -1)
-    tagged = tagged.withColumn("n", F.sum(one).over(run) + F.coalesce("polls0", F.lit(0)))
-    prev_fail = F.greatest(F.max("_fail").over(before), F.col("last_fail0"))
-    tagged = tagged.withColumn("_prev", prev_fail)
-    # row numbers at which a count starts over
-    resets = {"ok_at": F.when(good, F.col("n")), "full_at": F.when(good & F.col("complete"), F.col("n")),
-              "moved_at": F.when(bad & ~F.col("position").eqNullSafe(F.col("_prev.position")), F.col("n"))}
-    ran = F.when(good, F.col("n"))
-    tagged = tagged.withColumns({f"_{k}": v for k, v in resets.items()})
-    incomplete = F.when(good & ~F.col("complete"), 1).otherwise(0)
-    tagged = tagged.withColumn("_inc", incomplete).withColumn("_n_ok", ran)
-    tagged = carry(tagged, key, "chunk", {
-        "ok0": (F.max("_ok_at"), F.max), "full0": (F.max("_full_at"), F.max), "moved0": (F.max("_moved_at"), F.max),
-        "inc0": (F.sum("_inc"), F.sum)})
-    last = {k: F.greatest(F.max(f"_{k}_at").over(run), F.col(f"{k}0")) for k in ("ok", "full", "moved")}
-    tagged = tagged.withColumns({"last_ok": last["ok"], "last_full": last["full"], "last_moved": last["moved"],
-                                 "inc": F.sum("_inc").over(run) + F.coalesce("inc0", F.lit(0))})
-    # incomplete polls since the last complete one: the running count less its value there
-    tagged = tagged.withColumn("_inc_full", F.when(good & F.col("complete"), F.struct("n", "inc")))
-    tagged = carry(tagged, key, "chunk", {"f0": (F.max("_inc_full"), F.max)})
-    at_full = F.greatest(F.max("_inc_full").over(run), F.col("f0"))
-    zero = F.lit(0).cast("bigint")
-    since_ok = F.col("n") - F.coalesce("last_ok", zero)
-    since_moved = F.col("n") - F.greatest(F.coalesce("last_ok", zero), F.coalesce(F.col("last_moved") - 1, zero))
-    return tagged.withColumn("_at_full", at_full).select(
+    full = good & F.col("complete")
+    order = W.partitionBy("source", "chunk").orderBy("at", "id")
+    run, before = order.rowsBetween(W.unboundedPreceding, 0), order.rowsBetween(W.unboundedPreceding, -1)
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    # inside the hour: row number, incomplete polls so far, the failure before
+    rows = polls.withColumn("chunk", F.floor(seconds(F.col("at")) / HOUR)).withColumn("_fail", F.when(bad, F.struct("at", "id", "position")))
+    rows = rows.withColumns({"n": F.sum(one).over(run), "inc": F.sum(F.when(good & ~F.col("complete"), one).otherwise(zero)).over(run),
+                             "_prev": F.max("_fail").over(before)})
+    elsewhere = lambda position, earlier: ~position.eqNullSafe(earlier["position"])
+    first = F.min(F.when(bad, F.struct("at", "id", "position", "n")))
+    rows = carry_state(rows, ["source"], "chunk", {
+        "_polls": F.count("*"), "_incs": F.max("inc"), "_first": first, "_last": F.max("_fail"), "_ok": F.max(F.when(good, F.col("n"))),
+        "_full": F.max(F.when(full, F.struct("n", "inc"))),
+        "_moved": F.max(F.when(bad & F.col("_prev").isNotNull() & elsewhere(F.col("position"), F.col("_prev")), F.col("n")))}, [
+        {"n0": lambda w: F.coalesce(F.sum("_polls").over(w), zero), "inc0": lambda w: F.coalesce(F.sum("_incs").over(w), zero),
+         "fail0": lambda w: F.max("_last").over(w)},
+        {"_moved": lambda _: F.greatest("_moved", F.when(F.col("_first").isNotNull() & elsewhere(F.col("_first.position"), F.col("fail0")), F.col("_first.n")))},
+        {"ok0": lambda w: F.max(F.col("_ok") + F.col("n0")).over(w), "moved0": lambda w: F.max(F.col("_moved") + F.col("n0")).over(w),
+         "full0": lambda w: F.max(F.when(F.col("_full").isNotNull(), F.struct((F.col("_full.n") + F.col("n0")).alias("n"),
+                                                                              (F.col("_full.inc") + F.col("inc0")).alias("inc")))).over(w)}],
+        ["n0", "inc0", "fail0", "ok0", "moved0", "full0"])
+    rows = rows.withColumns({"n": F.col("n") + F.col("n0"), "inc": F.col("inc") + F.col("inc0"), "_prev": F.coalesce("_prev", "fail0")})
+    rows = rows.withColumns({
+        "_last_ok": F.greatest(F.max(F.when(good, F.col("n"))).over(run), F.col("ok0")),
+        "_last_moved": F.greatest(F.max(F.when(bad & elsewhere(F.col("position"), F.col("_prev")), F.col("n"))).over(run), F.col("moved0")),
+        # incomplete polls since the last complete one: the running count less its value there
+        "_at_full": F.coalesce(F.max(F.when(full, F.struct("n", "inc"))).over(run), F.col("full0"))})
+    since_ok = F.col("n") - F.coalesce("_last_ok", zero)
+    since_moved = F.col("n") - F.greatest(F.coalesce("_last_ok", zero), F.coalesce(F.col("_last_moved") - 1, zero))
+    return rows.select(
         "id", "source", "at", "ok", "complete", "error_kind", "position", "retry_after",
         F.when(good, zero).otherwise(since_ok).alias("failures"),
         (F.col("inc") - F.coalesce(F.col("_at_full.inc"), zero)).alias("incomplete_polls"),

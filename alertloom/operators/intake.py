@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from alertloom.functions.times import add_seconds, seconds
-from alertloom.operators.scans import carry
+from alertloom.operators.scans import carry_state
 from alertloom.settings import SECURITY, Settings
 
 NEVER = 1 << 52
@@ -57,15 +57,20 @@ def session_seconds(alerts: DataFrame, gap: int = 1800) -> DataFrame:
                   F.max(F.struct(F.col("severity"), (-F.col("seq")).alias("o"), F.col("source_severity"))).alias("top"),
                   F.min_by(F.struct(*FIRST), "seq").alias("first"))
               .withColumn("chunk", F.floor(F.col("s") / DAY)))
-    folded = carry(folded, key, "chunk", {"busy_before": (F.max("busy"), F.max)})
     inside = W.partitionBy(*key, "chunk").orderBy("s")
-    busy = F.greatest("busy_before", F.max("busy").over(inside.rowsBetween(W.unboundedPreceding, -1)))
-    opened = folded.withColumn("_busy", busy).withColumn(
-        "_open", F.when(F.col("_busy").isNull() | (F.col("s") - gap > F.col("_busy")), F.struct("s", "first_seq")))
-    opened = carry(opened, key, "chunk", {"_open_before": (F.max("_open"), F.max)})
-    current = F.coalesce(F.max("_open").over(inside.rowsBetween(W.unboundedPreceding, 0)), F.col("_open_before"))
-    return (opened.withColumn("_now", current).withColumn("incident_id", F.col("_now.first_seq"))
-            .drop("chunk", "busy_before", "_busy", "_open", "_open_before", "_now"))
+    opens = lambda at, busy: busy.isNull() | (at - gap > busy)
+    # a second that opens an incident as far as its day knows; of these only the last can do so against an earlier day as well
+    # without the ones before it, so it is all that the next days need
+    folded = folded.withColumn("_busy", F.max("busy").over(inside.rowsBetween(W.unboundedPreceding, -1)))
+    folded = folded.withColumn("_open", F.when(opens(F.col("s"), F.col("_busy")), F.struct("s", "first_seq")))
+    carried = carry_state(folded, key, "chunk", {"_until": F.max("busy"), "_last": F.max("_open")}, [
+        {"_busy_before": lambda before: F.max("_until").over(before)},
+        {"_stands": lambda _: F.when(opens(F.col("_last.s"), F.col("_busy_before")), F.col("_last"))},
+        {"_open_before": lambda before: F.max("_stands").over(before)}], ["_busy_before", "_open_before"])
+    stands = F.when(opens(F.col("s"), F.col("_busy_before")), F.col("_open"))
+    current = F.coalesce(F.max(stands).over(inside.rowsBetween(W.unboundedPreceding, 0)), F.col("_open_before"))
+    return (carried.withColumn("_now", current).withColumn("incident_id", F.col("_now.first_seq"))
+            .drop("chunk", "_busy", "_open", "_busy_before", "_open_before", "_now"))
 
 
 def sessionize(alerts: DataFrame, gap: int = 1800) -> DataFrame:

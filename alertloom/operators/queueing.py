@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from alertloom.functions.codes import allowed_actions
 from alertloom.functions.times import add_seconds, seconds
-from alertloom.operators.scans import carry, global_rank
+from alertloom.operators.scans import carry, carry_state, global_rank
 from alertloom.settings import WAITING, Settings
 
 HOUR = 3600
@@ -216,18 +216,19 @@ def model_backoff(runs: DataFrame, cfg: Settings = Settings()) -> DataFrame:
         .withColumn("auth", failed & (F.col("error_kind") == "auth")) \
         .withColumn("chunk", F.floor(seconds(F.col("at")) / HOUR))
     one = F.when(F.col("failed"), 1).otherwise(0)
-    key = F.struct("at", "id")
-    relevant = carry(relevant, ["lane"], "chunk", {"fails_before": (F.sum(one), F.sum)})
     inside = W.partitionBy("lane", "chunk").orderBy("at", "id").rowsBetween(W.unboundedPreceding, 0)
-    counted = relevant.withColumn("fails", F.sum(one).over(inside) + F.coalesce("fails_before", F.lit(0)))
+    point = F.struct(F.struct("at", "id").alias("k"), F.col("fails").alias("n"))
+    counted = relevant.withColumn("fails", F.sum(one).over(inside))
     # the last reset and the last auth error with the failure count at that point
-    reset = F.when(~F.col("failed"), F.struct(key.alias("k"), F.col("fails").alias("n")))
-    auth = F.when(F.col("auth"), F.struct(key.alias("k"), F.col("fails").alias("n")))
-    counted = counted.withColumn("_reset", reset).withColumn("_auth", auth)
-    counted = carry(counted, ["lane"], "chunk", {"r0": (F.max("_reset"), F.max), "a0": (F.max("_auth"), F.max)})
-    last_reset = F.greatest(F.max("_reset").over(inside), F.col("r0"))
-    last_auth = F.greatest(F.max("_auth").over(inside), F.col("a0"))
-    marked = counted.where("failed OR true").withColumn("r", last_reset).withColumn("a", last_auth).where("failed")
+    moved = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(f"{c}.k"), (F.col(f"{c}.n") + F.col("fails0")).alias("n")))
+    counted = carry_state(counted, ["lane"], "chunk", {
+        "_fails": F.max("fails"), "_reset": F.max(F.when(~F.col("failed"), point)), "_auth": F.max(F.when(F.col("auth"), point))}, [
+        {"fails0": lambda w: F.coalesce(F.sum("_fails").over(w), F.lit(0))},
+        {"r0": lambda w: F.max(moved("_reset")).over(w), "a0": lambda w: F.max(moved("_auth")).over(w)}], ["fails0", "r0", "a0"])
+    counted = counted.withColumn("fails", F.col("fails") + F.col("fails0"))
+    last_reset = F.coalesce(F.max(F.when(~F.col("failed"), point)).over(inside), F.col("r0"))
+    last_auth = F.coalesce(F.max(F.when(F.col("auth"), point)).over(inside), F.col("a0"))
+    marked = counted.withColumn("r", last_reset).withColumn("a", last_auth).where("failed")
     since_reset = F.col("fails") - F.coalesce(F.col("r.n"), F.lit(0))
     since_auth = F.col("fails") - F.col("a.n")
     fresh_auth = F.col("a").isNotNull() & (F.col("r").isNull() | (F.col("a.k") > F.col("r.k")))

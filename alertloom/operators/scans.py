@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,6 +23,21 @@ def carry(df: DataFrame, keys: list[str], chunk: str, totals: dict[str, tuple[Co
     return df.join(carried, [*keys, chunk])
 
 
+def carry_state(df: DataFrame, keys: list[str], chunk: str, state: dict[str, Column], steps: list[dict[str, Callable[[WindowSpec], Column]]], keep: list[str]
+                ) -> DataFrame:
+    """Add to every row what the chunks before its own amount to, where carried values depend on each other.
+
+    ``state`` are the aggregates of a chunk, computed once. ``steps`` then add columns to the small table of chunks, one
+    after the other: a step sees the columns of those before it and, through the window it is given, the earlier chunks of
+    the key. The ``keep`` columns are joined back once, however many steps there are.
+    """
+    before = W.partitionBy(*keys).orderBy(chunk).rowsBetween(W.unboundedPreceding, -1)
+    per_chunk = df.groupBy(*keys, chunk).agg(*[agg.alias(name) for name, agg in state.items()])
+    for step in steps:
+        per_chunk = per_chunk.withColumns({name: fn(before) for name, fn in step.items()})
+    return df.join(per_chunk.select(*keys, chunk, *keep), [*keys, chunk])
+
+
 def density(seconds: DataFrame, window: int) -> DataFrame:
     """``seconds(s, n)`` with the number of starts in ``[s, s + window]`` as ``within`` and the last of them."""
     own = F.floor(F.col("s") / window)

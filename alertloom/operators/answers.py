@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from alertloom.functions.text import DANGEROUS, RESERVED, neutralise
 from alertloom.operators.commands import classify_commands, match_commands
 from alertloom.operators.reports import parsed
-from alertloom.schemas import ANSWER
+from alertloom.session import checkpoint_dir
 
 # Codes of an answer, and the form it must have.
 KINDS = ("availability", "performance", "security", "configuration", "noise")
@@ -93,53 +93,35 @@ def validate_answers(answers: DataFrame) -> DataFrame:
     return found.select("id", F.posexplode(listed).alias("pos", "p")).select("id", "pos", "p.path", "p.message")
 
 
-def _strings(value: Column, form: dict, path: Column) -> Column:
-    """All strings of a struct that follows the form, with their paths."""
-    if form["type"] in ("string", "enum"):
-        return _one(path, F.coalesce(value, F.lit("")))
-    if form["type"] == "array":
-        return F.flatten(F.transform(F.coalesce(value, F.array()), lambda v, i: _strings(
-            v, form["item"], F.concat(path, F.lit("["), i.cast("string"), F.lit("]")))))
-    if form["type"] == "object":
-        parts = [_strings(value[n], s, F.concat(path, F.lit(f".{n}"))) for n, s in form["fields"].items() if s["type"] != "boolean"]
-        return F.concat(*parts)
-    return _nothing()
+def leaves(values: DataFrame) -> DataFrame:
+    """``values(id, v)`` with a variant of any form: ``id, path, text`` of every string in it. Objects and lists are exploded
+    level by level until none is left, so fields that no form knows are found as well; a round is one level of the deepest value."""
+    checkpoint_dir(values.sparkSession)
+    frontier, found = values.select("id", F.lit("$").alias("path"), "v"), None
+    while True:
+        kind = F.coalesce(F.schema_of_variant("v"), F.lit("VOID"))
+        level = frontier.select("id", "path", "v", kind.alias("kind")).where("kind = 'STRING' OR startswith(kind, 'OBJECT') OR startswith(kind, 'ARRAY')").checkpoint()
+        texts = level.where("kind = 'STRING'").select("id", "path", F.try_variant_get("v", "$", "string").alias("text"))
+        found = texts if found is None else found.unionByName(texts)
+        inner = level.where("kind <> 'STRING'")
+        if inner.isEmpty():
+            return found
+        fields = inner.where("startswith(kind, 'OBJECT')").select("id", "path", F.explode(F.try_variant_get("v", "$", "map<string,variant>")).alias("key", "v"))
+        items = inner.where("startswith(kind, 'ARRAY')").select("id", "path", F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("at", "v"))
+        frontier = fields.select("id", F.concat("path", F.lit("."), "key").alias("path"), "v").unionByName(
+            items.select("id", F.concat("path", F.lit("["), F.col("at").cast("string"), F.lit("]")).alias("path"), "v"))
 
 
 def unsafe_text(answers: DataFrame) -> DataFrame:
-    """Strings of answers that hold a delimiter tag or a dangerous character, by path."""
-    read = answers.select("id", F.from_json("content", ANSWER).alias("a")).where("a IS NOT NULL")
-    rows = read.select("id", F.explode(_strings_of_struct()).alias("s")).select("id", "s.path", F.col("s.message").alias("text"))
+    """Strings of answers that hold a delimiter tag or a dangerous character, by path, in whatever field they stand. Only answers
+    that can hold one are taken apart: what is not in the text of an answer can be in its strings only through an escape."""
+    can = F.contains("content", F.lit("\\")) | F.col("content").rlike(RESERVED) | F.col("content").rlike(DANGEROUS)
+    rows = leaves(answers.where(can).select("id", F.try_parse_json("content").alias("v")).where("v IS NOT NULL"))
     tag, odd = F.col("text").rlike(RESERVED), F.col("text").rlike(DANGEROUS)
     return rows.where(tag | odd).select("id", "path", F.explode(F.array_compact(F.array(
         F.when(tag, "delimiter tag"), F.when(odd, "control or special character")))).alias("message"))
 
 
-def _strings_of_struct() -> Column:
-    root = F.col("a")
-    parts = []
-    for name, form in FORM["fields"].items():
-        if form["type"] == "boolean":
-            continue
-        value = root[name]
-        if form["type"] == "array":
-            parts.append(_array_strings(value, form, name))
-        elif form["type"] == "object":
-            for inner, sub in form["fields"].items():
-                if sub["type"] == "array":
-                    parts.append(_array_strings(value[inner], sub, f"{name}.{inner}"))
-                else:
-                    parts.append(_strings(value[inner], sub, F.lit(f"$.{name}.{inner}")))
-        else:
-            parts.append(_strings(value, form, F.lit(f"$.{name}")))
-    return F.concat(*parts)
-
-
-def _array_strings(items: Column, form: dict, name: str) -> Column:
-    found = F.flatten(F.transform(items, lambda v, i: _strings(v, form["item"], F.concat(F.lit(f"$.{name}["), i.cast("string"), F.lit("]")))))
-    return F.coalesce(found, _nothing())
-
-
 def validation_summary(problems: DataFrame, shown: int = 3) -> DataFrame:
     """First problems of every answer in one line, and how many more there are."""
     ordered = F.array_sort(F.collect_list(F.struct("pos", "path", "message")))

@@ -314,6 +314,20 @@ def _(t):
     return t.documents.select("doc_id", secrets.mask_known(words, (s,)).alias("text"))
 
 
+@query("mask_table", r"""
+SELECT d.doc_id, d.text || CASE d.doc_id % 4 WHEN 0 THEN ' key *** end' WHEN 1 THEN ' url ***, twice ***0' WHEN 2 THEN ' cut ***x tail' ELSE ' tail ***' END AS text
+FROM documents d""")
+def _(t):
+    """Every document with the name of a customer in it; all customers' names are the secrets, and they begin alike."""
+    secret = t.customer.select(F.col("c_name").alias("secret"))
+    n = F.col("doc_id") % 4
+    named = t.documents.withColumn("c_custkey", F.col("doc_id") % 100 + 1).join(t.customer.select("c_custkey", "c_name"), "c_custkey")
+    words = F.when(n == 0, F.concat(F.lit(" key "), "c_name", F.lit(" end"))).when(n == 1, F.concat(
+        F.lit(" url "), F.replace("c_name", F.lit("#"), F.lit("%23")), F.lit(", twice "), F.base64(F.col("c_name").cast("binary")), F.lit("0"))).when(
+        n == 2, F.concat(F.lit(" cut "), F.substr("c_name", F.lit(1), F.lit(13)), F.lit("x tail"))).otherwise(F.concat(F.lit(" tail "), F.substr("c_name", F.lit(1), F.lit(5))))
+    return secrets.mask_table(named.select("doc_id", F.concat("text", words).alias("text")), secret, "doc_id")
+
+
 @query("extract_commands", over("files", sql="""
 SELECT file, unnest(['df -h /var', 'docker ps']) AS command FROM files WHERE doc_id % 4 = 0"""))
 def _(t):
@@ -321,11 +335,12 @@ def _(t):
 
 
 @query("match_commands", """
-SELECT event_id AS check_id, event_id % 5 IN (0, 1, 3) AS verified FROM events""")
+SELECT event_id AS check_id, event_id % 8 NOT IN (2, 4) AS verified FROM events""")
 def _(t):
-    texts = ("sudo df -h /var/lib", "docker logs app --since 1h", "docker logs", "cat a b", "rm x")
-    checks = t.events.select(F.col("event_id").alias("check_id"), F.element_at(F.array(*[F.lit(x) for x in texts]), (F.col("event_id") % 5 + 1).cast("int")).alias("command"))
-    templates = t.nation.select(F.element_at(F.array(*[F.lit(x) for x in ("df -h <path>", "docker logs $NAME …", "cat … b")]), (F.col("n_nationkey") % 3 + 1).cast("int")).alias("command"))
+    texts = ("sudo df -h /var/lib", "docker logs app --since 1h", "docker logs", "cat a b", "rm x", "anything at all restart app", "one two three four five six seven", "echo a b c")
+    checks = t.events.select(F.col("event_id").alias("check_id"), F.element_at(F.array(*[F.lit(x) for x in texts]), (F.col("event_id") % 8 + 1).cast("int")).alias("command"))
+    shapes = ("df -h <path>", "docker logs $NAME …", "cat … b", "<words> restart $UNIT", "… <a> $B <c> <d> <e> $F", "$A $B $C $D")
+    templates = t.nation.select(F.element_at(F.array(*[F.lit(x) for x in shapes]), (F.col("n_nationkey") % 6 + 1).cast("int")).alias("command"))
     return commands.match_commands(checks, templates).select("check_id", "verified")
 
 

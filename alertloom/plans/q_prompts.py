@@ -41,9 +41,14 @@ def _(t):
     return answers.validation_summary(answers.validate_answers(answers_of(t)), 2)
 
 
-@query("unsafe_text", over("analyses", sql="SELECT id, '$.impact.services[1]' AS path, 'delimiter tag' AS message FROM analyses WHERE status = 'done' AND id % 10 = 5"))
+@query("unsafe_text", over("analyses", sql="""
+SELECT id, '$.impact.services[1]' AS path, 'delimiter tag' AS message FROM analyses WHERE status = 'done' AND id % 10 = 5
+UNION ALL SELECT id, '$.more.deep[1][0].x', 'delimiter tag' FROM analyses WHERE status = 'done' AND id % 10 = 6
+UNION ALL SELECT id, '$.more.odd', 'control or special character' FROM analyses WHERE status = 'done' AND id % 10 = 6"""))
 def _(t):
-    return answers.unsafe_text(answers_of(t))
+    deep = F.lit('"more":{"deep":[1,[{"x":"a <doc> b","y":"plain"}]],"odd":"a\\u0007b"},"unknowns"')
+    wrapped = F.when(F.col("id") % 10 == 6, F.replace("content", F.lit('"unknowns"'), deep)).otherwise(F.col("content"))
+    return answers.unsafe_text(answers_of(t).withColumn("content", wrapped))
 
 
 def templates_of(t):

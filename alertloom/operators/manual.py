@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from alertloom.functions.text import confirmed_on, estimate_tokens, extract_terms, fold
+from alertloom.functions.text import confirmed_on, estimate_tokens, extract_terms, fold, once
 from alertloom.settings import Settings
 
 # A fenced block: the closing line repeats the opening mark, at least as long, with nothing after it.
@@ -24,8 +24,12 @@ def has_open_fence(text: Column) -> Column:
 
 
 def _lines(text: Column) -> Column:
-    """Lines with their number from 1, whether they are code, and whether they belong to a diagram."""
-    outside, blocks = F.split(text, FENCED, -1), F.regexp_extract_all(text, F.lit(FENCED), F.lit(0))
+    """Lines with their number from 1, whether they are code, and whether they belong to a diagram. The text is cut once; every
+    piece of it is then looked at once."""
+    return once(F.split(text, FENCED, -1), lambda outside: once(F.regexp_extract_all(text, F.lit(FENCED), F.lit(0)), lambda blocks: _numbered(outside, blocks)))
+
+
+def _numbered(outside: Column, blocks: Column) -> Column:
     n = F.size(blocks)
 
     def plain(i: Column) -> Column:
@@ -317,6 +321,11 @@ def bundle_stats(sections: DataFrame) -> DataFrame:
                         F.count_if("in_card").alias("in_card"), F.max("tokens").alias("largest"))
 
 
+def largest_sections(sections: DataFrame, k: int = 5) -> DataFrame:
+    """The ``k`` sections of most tokens, in the order of the files on a tie."""
+    return sections.orderBy(F.desc("tokens"), "file", "ord", "id").limit(k).select("file", "heading", "id", "tokens")
+
+
 PATHS = r"(?:~|\.{1,2})?(?:/[A-Za-z0-9._@%+-]{1,80}){1,40}/?"
 
 

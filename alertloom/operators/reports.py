@@ -273,6 +273,14 @@ def run_metrics(analyses: DataFrame) -> DataFrame:
         F.count_distinct("knowledge_version").alias("versions")))
 
 
+def version_metrics(analyses: DataFrame) -> DataFrame:
+    """Runs that ended by version of the manual and kind of error (null: none), with subtotals per version and in all."""
+    ended = analyses.where("status <> 'running'").withColumn("error_kind", F.coalesce("error_kind", F.lit("none")))
+    return ended.rollup("knowledge_version", "error_kind").agg(
+        F.count("*").alias("runs"), F.round(F.avg("duration_ms"), 2).alias("avg_duration_ms"),
+        F.sum(F.col("prompt_tokens").cast("bigint") + F.col("completion_tokens")).alias("tokens"), F.max("attempt").alias("attempts"))
+
+
 def failed_outputs(analyses: DataFrame, limit: int = 8000) -> DataFrame:
     """What failed runs returned: the object, or the text, neutralised."""
     data = F.try_parse_json("result_json")

@@ -213,6 +213,18 @@ def _(t):
     return manual.bundle_stats(described_of(t))
 
 
+@query("largest_sections", over("described", sql="SELECT file, heading, id, tokens FROM described ORDER BY tokens DESC, file, ord, id LIMIT 5"))
+def _(t):
+    return manual.largest_sections(described_of(t))
+
+
+@query("bundle_age", """
+SELECT o_orderkey, greatest(0, date_diff('day', CAST(o_orderdate AS DATE), DATE '1997-06-01')) AS age, date_diff('day', CAST(o_orderdate AS DATE), DATE '1997-06-01') > 30 AS stale FROM orders""")
+def _(t):
+    age, stale = manual.bundle_age(F.col("o_orderdate"), F.lit("1997-06-01"))
+    return t.orders.select("o_orderkey", age.alias("age"), stale.alias("stale"))
+
+
 # Situations: each host and type that occurs, with the title words of its incidents.
 _WORDS = ["Thend", "Essh", "onre", "Wh", "anre", "tion", "Onand", "enth", "Der", "queon"]
 _TITLE = "list_extract(['" + "', '".join(_WORDS) + "'], CAST(right(host, 1) AS INTEGER) + 1)"

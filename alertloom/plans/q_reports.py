@@ -186,6 +186,14 @@ def _(t):
     return reports.run_metrics(t.analyses)
 
 
+@query("version_metrics", over("analyses", sql="""
+SELECT knowledge_version, error_kind, count(*) AS runs, round(avg(duration_ms), 2) AS avg_duration_ms, CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) AS tokens,
+  max(attempt) AS attempts FROM (SELECT * REPLACE (coalesce(error_kind, 'none') AS error_kind) FROM analyses WHERE status <> 'running') a
+GROUP BY ROLLUP (knowledge_version, error_kind)"""))
+def _(t):
+    return reports.version_metrics(t.analyses)
+
+
 @query("failed_outputs", over("analyses", sql="""
 SELECT id, CASE WHEN result_json LIKE '{%' THEN json_extract_string(result_json, '$.failed_output') END AS output FROM analyses WHERE status = 'failed'"""))
 def _(t):

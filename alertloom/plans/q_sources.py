@@ -1,14 +1,17 @@
 """Queries over readers, normalisation, selections and table checks."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from alertloom.operators import intake, normalize
 from alertloom.plans import adapters
 from alertloom.plans.oracle import over
-from alertloom.plans.registry import query
+from alertloom.plans.registry import ORACLES, query
+from alertloom.session import checkpoint_dir
 from alertloom.settings import Settings
-from alertloom.sources import captures, tables
+from alertloom.sources import captures, snapshots, tables
 
 NOW = f"TIMESTAMP '{adapters.NOW}'"
 
@@ -140,6 +143,49 @@ def _(t):
     return captures.take_backlog(rows, position(), F.lit("000000500"), 200)
 
 
+@query("backlog_rejects", """
+SELECT event_id, 'no tie value' AS reject_reason FROM events WHERE event_id % 10 = 0 AND date_trunc('hour', ts) >= TIMESTAMP '2024-01-15 12:00:00'""")
+def _(t):
+    rows = t._view("SELECT event_id, date_trunc('hour', ts) AS ts, CASE WHEN event_id % 10 <> 0 THEN lpad(CAST(event_id AS STRING), 9, '0') END AS tie FROM events")
+    return captures.backlog_rejects(rows, position(), F.lit("000000500")).select("event_id", "reject_reason")
+
+
+def capture_files(t, made):
+    """Captures as files of one array each, some of them no JSON at all: up to 200 arrays are joined into one."""
+    path = f"{checkpoint_dir(t.spark).rstrip('/')}/captures-{uuid.uuid4().hex}"
+    inner = F.expr("substr(value, 2, length(value) - 2)")
+    files = made.groupBy((F.col("origin").cast("bigint") % 1000003 / 200).cast("int").alias("file")).agg(
+        F.concat(F.lit("["), F.array_join(F.collect_list(inner), ","), F.lit("]")).alias("value"))
+    files.unionByName(t.spark.createDataFrame([(-1, "no json"), (-2, "{}")], "file int, value string")).repartition("file").write.partitionBy("file").text(path)
+    return path
+
+
+@query("read_problems", ORACLES["normalize_problems"])
+def _(t):
+    items = captures.read_problems(t.spark, capture_files(t, problem_captures(t)))
+    good, _ = normalize.split_rejects(normalize.normalize_problems(items, t.now, t.cfg))
+    return good.select("external_id", "host", "type", "severity", "title", "started_at", "resolved_at", "fingerprint", "analyzable", "availability")
+
+
+@query("read_security_alerts", ORACLES["normalize_security"])
+def _(t):
+    items = captures.read_security_alerts(t.spark, capture_files(t, security_captures(t)))
+    good, _ = normalize.split_rejects(normalize.normalize_security(items, t.cfg))
+    return good.select("external_id", "host", "type", "severity", "title", "started_at", "fingerprint", "analyzable")
+
+
+@query("read_snapshot", over("cases", sql="SELECT *, '2024-01-03' AS generation FROM cases"))
+def _(t):
+    """Three generations and a torn one; two stay, and the newest is read back."""
+    path = f"{checkpoint_dir(t.spark).rstrip('/')}/snapshots-{uuid.uuid4().hex}"
+    for day in (1, 2, 3):
+        tables.write_snapshot({"cases": t.cases, "polls": t.polls}, path, f"2024-01-0{day}")
+    t.cases.write.parquet(f"{path}/gen=2024-01-04/cases")
+    snapshots.expire(t.spark, path, 2)
+    newest = max(g.stamp for g in snapshots.generations(t.spark, path) if g.committed)
+    return snapshots.read_snapshot(t.spark, path)["cases"].withColumn("generation", F.lit(newest))
+
+
 @query("upsert", """
 SELECT c_custkey AS key, CASE WHEN o_orderkey IS NULL THEN c_name ELSE 'order ' || CAST(o_orderkey AS VARCHAR) END AS value FROM customer LEFT JOIN
   (SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) o ON o_custkey = c_custkey

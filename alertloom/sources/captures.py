@@ -80,6 +80,13 @@ def reread_late(alerts: DataFrame, stored: DataFrame, mark: Column, now: Column,
 
 
 def take_backlog(alerts: DataFrame, ts: Column, tie: Column, n: int) -> DataFrame:
-    """The next ``n`` rows after a position in the order (ts, tie); rows without a tie are left out."""
+    """The next ``n`` rows after a position in the order (ts, tie). Rows without a tie have no place in it: ``backlog_rejects`` lists them."""
     after = (F.col("ts") > ts) | ((F.col("ts") == ts) & (F.col("tie") > tie))
     return alerts.where(F.col("tie").isNotNull() & after).orderBy("ts", "tie").limit(n)
+
+
+def backlog_rejects(alerts: DataFrame, ts: Column, tie: Column) -> DataFrame:
+    """Rows at or after a position that ``take_backlog`` can never reach, with the reason."""
+    reason = F.when(F.col("ts").isNull(), "no time").when(F.col("tie").isNull(), "no tie value")
+    here = F.col("ts").isNull() | (F.col("ts") >= ts)
+    return alerts.withColumn("reject_reason", reason).where(F.col("reject_reason").isNotNull() & here & tie.isNotNull())

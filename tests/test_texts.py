@@ -98,3 +98,10 @@ def test_strings_of_any_answer(spark):
     got = {(r.id, r.path, r.message) for r in answers.unsafe_text(frame.unionByName(spark.createDataFrame([(99, "no json <doc>"), (98, None)], frame.schema))).collect()}
     want = {(i, p, m) for i, v in enumerate(values) for p, t in strings(v) for m, hit in (("delimiter tag", "<doc>" in t), ("control or special character", "\u0007" in t)) if hit}
     assert got == want
+
+
+def test_long_values_are_found(spark):
+    value = "aB3" * 150
+    lines = [f'password = "{value}"', f"api_key={value}", f'<x name="api_password" value="{value}"/>', f"token: {value} and more", "password: changeme"]
+    frame = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert {r.doc_id for r in secrets.scan_secrets(frame).collect()} == {0, 1, 2, 3}

@@ -7,7 +7,8 @@ a copy. A second Arrow file beside it names where each document starts. Files ca
 name of the attempt and then moved, so a repeated task replaces equal bytes.
 
 Defined cases: a null text is empty and has only the end id; rows without a doc_id come first; rows that repeat a doc_id
-follow each other; an empty table gives no file. Memory is bounded by one batch of texts and ``PAGE`` sequences.
+follow each other; texts of special tokens are those tokens, as the library reads them; an empty table gives no file. Memory is
+bounded by one batch of texts, ``PAGE`` sequences and ``KEPT_BYTES`` of words.
 """
 from __future__ import annotations
 
@@ -32,7 +33,7 @@ from alertloom.llm.common import folder, stored
 
 LENGTH = 2048
 PAGE = 64
-CACHE = 1_000_000
+KEPT_BYTES, ENTRY_BYTES = 250 << 20, 160  # of the memory of words, and what an entry takes beside its letters and ids
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
@@ -49,34 +50,69 @@ def place(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
 @lru_cache(maxsize=2)
 def tokenizer(path: str):
     from tokenizers import Tokenizer
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(maxsize=2)
+def added(path: str) -> tuple[str, ...]:
+    """Texts that the tokenizer takes as one token wherever they stand."""
+    found = tuple(t.content for t in tokenizer(path).get_added_tokens_decoder().values())
+    if any(t != "".join(t.split()) for t in found):
+        raise ValueError("tokens of the vocabulary that hold white space can not be found word by word")
     return found
 
 
-def encoded(texts: pa.Array, path: str, cache: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray]:
+class Memory(dict):
+    """Ids of words, kept over the tasks of a worker and bounded in bytes."""
+    weight = 0
+
+    def keep(self, words: list[str], path: str) -> None:
+        for at in range(0, len(words), 20_000):
+            part = words[at:at + 20_000]
+            for word, found in zip(part, tokenizer(path).encode_batch_fast(part, add_special_tokens=False)):
+                self[word] = ids = array("I", found.ids).tobytes()
+                self.weight += ENTRY_BYTES + len(word) + len(ids)
+
+    def forget(self) -> None:
+        self.clear()
+        self.weight = 0
+
+
+@lru_cache(maxsize=2)
+def memory(path: str) -> Memory:
+    return Memory()
+
+
+def core_of(word: str, tokens: tuple[str, ...]) -> str:
+    """What of a word decides its ids, without the stops and commas behind it. A token of the vocabulary inside is found in the
+    letters as they are, so such a word, or one that would become such a word in small letters, stays whole."""
+    if any(t in word or t.lower() in word.lower() for t in tokens):
+        return word
+    core = word.rstrip(".,")
+    if len(core) < len(word) and not ("a" <= core[-1:].lower() <= "z" and core[-1:].isascii()):
+        return word
+    return core
+
+
+def encoded(texts: pa.Array, path: str, known: Memory) -> tuple[np.ndarray, np.ndarray]:
     """Ids of a batch and their number per text. The tokenizer drops white space and never joins over it, so each distinct
-    word between ASCII spaces is encoded once per batch. A full stop or comma behind a letter is a piece of its own and ASCII
+    word between ASCII spaces is looked up once per batch. A full stop or comma behind a letter is a piece of its own and ASCII
     letters lose their case, so words that differ in these only are encoded once, too."""
     cut = pc.ascii_split_whitespace(texts)
     per_text = np.diff(cut.offsets.to_numpy())
     coded = cut.flatten().dictionary_encode()
+    tokens = added(path)
+    marks = tuple({t[:2] for t in tokens})
     cores, tails = [], []
     for word in coded.dictionary.to_pylist():
-        core = word.rstrip(".,")
-        if len(core) < len(word) and not ("a" <= core[-1:].lower() <= "z" and core[-1:].isascii()):
-            core = word
+        odd = any(m in word for m in marks) or not word.isascii()
+        core = core_of(word, tokens if odd else ())
         tails.append(word[len(core):])
-        cores.append(core.lower() if core.isascii() else core)
-    new = list({w for w in (*cores, *tails) if w not in cache})
-    if len(cache) + len(new) > CACHE:
-        cache.clear()
-        new = list({*cores, *tails})
-    for at in range(0, len(new), 20_000):
-        part = new[at:at + 20_000]
-        for word, found in zip(part, tokenizer(path).encode_batch_fast(part, add_special_tokens=False)):
-            cache[word] = array("I", found.ids).tobytes()
-    return spread([cache[c] + cache[t] if t else cache[c] for c, t in zip(cores, tails)], coded.indices.to_numpy(), per_text)
+        cores.append(core if odd else core.lower())
+    if known.weight > KEPT_BYTES:
+        known.forget()
+    known.keep(list({w for w in (*cores, *tails) if w not in known}), path)
+    return spread([known[c] + known[t] if t else known[c] for c, t in zip(cores, tails)], coded.indices.to_numpy(), per_text)
 
 
 class Pages:
@@ -113,12 +149,12 @@ def write(docs: DataFrame, path: str, out: str | None = None, end: int = 2, leng
     out = (out or folder(spark, "sequences")).rstrip("/")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, cache, at, n_docs = TaskContext.get().partitionId(), {}, 0, 0
+        task, at, n_docs = TaskContext.get().partitionId(), 0, 0
         fs, base = place(out)
         name, attempt = posixpath.join(base, f"part-{task:06d}"), uuid.uuid4().hex
         pages = index = None
         for batch in (part for whole in batches for part in slices(whole)):
-            ids, counts = encoded(pc.fill_null(batch.column(1), ""), path, cache)
+            ids, counts = encoded(pc.fill_null(batch.column(1), ""), path, memory(path))
             ends = np.cumsum(counts)
             ids = np.insert(ids, ends, end)  # the end id behind each document
             counts = counts + 1

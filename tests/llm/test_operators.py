@@ -15,6 +15,7 @@ import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
+from tokenizers import Tokenizer
 from pyspark.sql import functions as F
 
 from alertloom.llm import (arrow_sequences, avi_clips, bpe_prefix, common, line_edit, pfair_mix, quality_ratio, secret_owners, simhash_tiles,
@@ -250,7 +251,11 @@ def test_prefixes_append_and_edit():
 
 def test_sequences(spark, corpus, empty):
     docs, rows = corpus
-    tokens = arrow_sequences.tokenizer(WORDS)
+    tokens = Tokenizer.from_file(WORDS)  # the library as it comes
+    special = ["<|endoftext|>", "a<|endoftext|>b.", "<|ENDOFTEXT|> x<|EndOfText|>", "end. <|endoftext|>, <|startoftext|><|endoftext|>.,", "<|endoftext |>", "É<|endoftext|>É. <|É", "<|a.b|>."]
+    more = [(2000 + k, t) for k, t in enumerate(special)]
+    rows = rows + more
+    docs = docs.select("doc_id", "text").unionByName(docs.sparkSession.createDataFrame(more, "doc_id long, text string"))
     manifest = arrow_sequences.write(docs, WORDS, length=16)
     got = sorted(map(tuple, arrow_sequences.read(manifest).collect()), key=lambda r: r[1])
     start, want = 0, collections.Counter()

@@ -189,9 +189,9 @@ def abandoned_runs(analyses: DataFrame) -> DataFrame:
 
 
 def concurrent_runs(analyses: DataFrame) -> DataFrame:
-    """Runs that began before an earlier one had finished. Runs are compared day by day with the latest finish carried
-    over, so the whole log is never in one place."""
-    runs = analyses.where("started_at IS NOT NULL").withColumn("chunk", F.to_date("started_at")) \
+    """Runs that began before an earlier one had finished; one that still runs has no end. The runs of a minute are ordered in
+    one task; the latest end of all minutes before is carried over a table with one row per minute of the history."""
+    runs = analyses.where("started_at IS NOT NULL").withColumn("chunk", F.floor(seconds(F.col("started_at")) / 60)) \
         .withColumn("lane", F.lit(0)).withColumn("until", F.coalesce("finished_at", F.lit("2999-01-01").cast("timestamp")))
     runs = carry(runs, ["lane"], "chunk", {"earlier": (F.max("until"), F.max)})
     inside = W.partitionBy("chunk").orderBy("started_at", "id").rowsBetween(W.unboundedPreceding, -1)

@@ -1,6 +1,8 @@
 """Reports over incidents, their runs and their log."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -123,20 +125,20 @@ def parsed(analyses: DataFrame) -> DataFrame:
 
 
 def explode_answer(analyses: DataFrame) -> DataFrame:
-    """Answers as a long table: one row per cause, check, service, incident, change and unknown."""
-    a = parsed(analyses).where("answer IS NOT NULL")
-
-    def part(name: str, items: Column, body: Column, extra: Column) -> DataFrame:
-        return (a.select("id", F.posexplode(items).alias("pos", "item"))
-                .select("id", F.lit(name).alias("part"), "pos", body.alias("body"), extra.alias("extra")))
+    """Answers as a long table: one row per cause, check, service, incident, change and unknown. An answer is parsed once and
+    its lists are put one behind the other; what is no answer has no lists."""
     none = F.lit(None).cast("string")
-    item = F.col("item")
-    out = part("cause", F.col("answer.probable_causes"), item["cause"], codes.label(item["confidence"], codes.CONFIDENCE_LABELS))
-    out = out.unionByName(part("check", F.col("answer.recommended_checks"), item["purpose"], item["command"]))
-    for name, path in (("service", "impact.services"), ("incident", "correlation.incidents"),
-                       ("change", "correlation.changes"), ("unknown", "unknowns")):
-        out = out.unionByName(part(name, F.col(f"answer.{path}"), item, none))
-    return out
+
+    def part(name: str, items: Column, body: Callable[[Column], Column], extra: Callable[[Column], Column]) -> Column:
+        rows = F.transform(items, lambda item, pos: F.struct(F.lit(name).alias("part"), pos.alias("pos"), body(item).alias("body"), extra(item).alias("extra")))
+        return F.coalesce(rows, F.array().cast("array<struct<part:string,pos:int,body:string,extra:string>>"))
+    a = F.col("answer")
+    lists = [part("cause", a["probable_causes"], lambda c: c["cause"], lambda c: codes.label(c["confidence"], codes.CONFIDENCE_LABELS)),
+             part("check", a["recommended_checks"], lambda c: c["purpose"], lambda c: c["command"])]
+    for name, items in (("service", a["impact"]["services"]), ("incident", a["correlation"]["incidents"]), ("change", a["correlation"]["changes"]),
+                        ("unknown", a["unknowns"])):
+        lists.append(part(name, items, lambda text: text, lambda _: none))
+    return parsed(analyses).select("id", F.explode(F.concat(*lists)).alias("r")).select("id", "r.*")
 
 
 def feedback_ratio(log: DataFrame, since: Column) -> DataFrame:

@@ -144,10 +144,10 @@ def _(t):
 
 @query("concurrent_runs", over("analyses", sql="""
 SELECT id, started_at, busy_until FROM (SELECT *, max(coalesce(finished_at, TIMESTAMP '2999-01-01 00:00:00')) OVER (
-  ORDER BY started_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS busy_until FROM analyses WHERE status <> 'running') x
+  ORDER BY started_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS busy_until FROM analyses) x
 WHERE busy_until > started_at"""))
 def _(t):
-    return queueing.concurrent_runs(t.analyses.where("status <> 'running'"))
+    return queueing.concurrent_runs(t.analyses)
 
 
 @query("run_trigger", over("incidents", sql="""

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from alertloom.functions.text import confirmed_on, estimate_tokens, extract_terms, fold, once
+from alertloom.operators.scans import carry
 from alertloom.settings import Settings
 
 # A fenced block: the closing line repeats the opening mark, at least as long, with nothing after it.
@@ -265,8 +266,7 @@ def recent_rows(sections: DataFrame, today: Column, days: int) -> DataFrame:
 def build_card(sections: DataFrame, entries: DataFrame, history: DataFrame, today: Column, days: int, cfg: Settings = Settings()) -> DataFrame:
     """The parts of the card in order, each with its tokens, the running total and whether the budget is kept.
 
-    ``entries`` pick the fixed sections, ``history(id)`` names the section with the change table. The card is a short text
-    (a few thousand tokens), so its parts are ordered in one place.
+    ``entries`` pick the fixed sections, ``history(id)`` names the section with the change table.
     """
     members = with_children(sections, pick_sections(sections, entries))
     first = members.groupBy("member_id").agg(F.min(F.struct("nth", "at")).alias("o"))
@@ -280,8 +280,10 @@ def build_card(sections: DataFrame, entries: DataFrame, history: DataFrame, toda
     changes = shown.select(F.lit(1 << 30).alias("nth"), F.lit(0).alias("at"), F.col("id").alias("member_id"),
                            F.concat(title, F.when(F.col("n") > 0, F.col("body")).otherwise(f"No change in the last {days} days.")).alias("text"))
     parts = fixed.unionByName(changes).withColumn("tokens", estimate_tokens(F.col("text")))
-    so_far = F.sum("tokens").over(W.partitionBy(F.lit(0)).orderBy("nth", "at").rowsBetween(W.unboundedPreceding, 0))
-    return parts.withColumn("total", so_far.cast("bigint")).withColumn("fits", F.col("total") <= cfg.card_budget)
+    # the parts of one entry are added up in one task, the totals of the entries before it are carried over
+    parts = carry(parts.withColumn("_card", F.lit(0)), ["_card"], "nth", {"_before": (F.sum("tokens"), F.sum)})
+    so_far = F.sum("tokens").over(W.partitionBy("nth").orderBy("at", "member_id").rowsBetween(W.unboundedPreceding, 0)) + F.coalesce("_before", F.lit(0))
+    return parts.withColumn("total", so_far.cast("bigint")).withColumn("fits", F.col("total") <= cfg.card_budget).drop("_card", "_before")
 
 
 def bundle_version(sections: DataFrame, day: str) -> DataFrame:

@@ -181,12 +181,12 @@ def _(t):
 @query("build_card")
 def _(t):
     s = sections_of(t)
-    cut = files_of(t).agg(F.min("file").alias("file"))
-    some = entries_of(t).join(cut, "file", "left_semi")
-    return manual.build_card(s, some.withColumn("heading", F.lit("doc")), s.where("heading = 'End'").select("id").limit(1), F.lit(TODAY), 90, t.cfg)
+    return manual.build_card(s, entries_of(t).withColumn("heading", F.lit("doc")), s.where("heading = 'End'").agg(F.min("id").alias("id")), F.lit(TODAY), 90, t.cfg)
 
 
-@query("bundle_version")
+@query("bundle_version", over("described", sql=f"""
+SELECT '{TODAY.replace("-", "")}-' || substr(sha256(concat_ws('/', CAST(count(*) AS VARCHAR), CAST(sum(CAST('0x' || substr(d, 1, 12) AS UBIGINT)) AS VARCHAR), CAST(sum(CAST('0x' || substr(d, 13, 12) AS UBIGINT)) AS VARCHAR), CAST(sum(CAST('0x' || substr(d, 25, 12) AS UBIGINT)) AS VARCHAR), CAST(sum(CAST('0x' || substr(d, 37, 12) AS UBIGINT)) AS VARCHAR))), 1, 12) AS version,
+  count(*) AS sections, CAST(sum(tokens) AS BIGINT) AS tokens FROM (SELECT tokens, sha256(id || chr(10) || sha256(text)) AS d FROM described) x"""))
 def _(t):
     return manual.bundle_version(described_of(t), TODAY)
 
@@ -300,10 +300,10 @@ def _(t):
 
 
 @query("scan_document_secrets", r"""
-SELECT doc_id, line, 'credential' AS kind FROM (SELECT doc_id, unnest(l) AS text, generate_subscripts(l, 1) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) a) b
+SELECT doc_id, line, 'credential' AS kind, 'assignment' AS rule FROM (SELECT doc_id, unnest(l) AS text, generate_subscripts(l, 1) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) a) b
 WHERE regexp_matches(text, '(^|[^A-Za-z0-9_.-])token = "[0-9a-f]{40}"')""")
 def _(t):
-    return secrets.scan_secrets(t.documents.select("doc_id", "text")).where("rule = 'assignment'").select("doc_id", "line", "kind")
+    return secrets.scan_secrets(t.documents.select("doc_id", "text")).select("doc_id", "line", "kind", "rule")
 
 
 @query("allow_findings", r"""

@@ -74,21 +74,41 @@ def _(t):
 
 
 def parts_of(t, version="v1"):
-    """Prompt parts; every document under 4,000 characters stands in for a manual section."""
+    """Prompt parts; every document, whole, stands in for a manual section, and an incident is given two of them."""
     from alertloom.functions.text import estimate_tokens
     n = F.col("doc_id")
-    sections = t.documents.where("n_chars < 4000").select(F.concat(F.lit("s"), n.cast("string")).alias("id"), "text", F.col("source").alias("file"), F.col("lang").alias("heading"), n)
+    sections = t.documents.select(F.concat(F.lit("s"), n.cast("string")).alias("id"), "text", F.col("source").alias("file"), F.col("lang").alias("heading"), n)
     sections = sections.withColumn("tokens", estimate_tokens(F.col("text")))
-    chosen = t.incidents.select("id", F.explode(F.array(F.lit(0), F.lit(1))).alias("nth")).select("id", "nth", F.concat(F.lit("s"), ((F.col("id") + F.col("nth")) % 40).cast("string")).alias("section_id"))
+    every = F.broadcast(t.documents.agg(F.count("*").alias("n")))  # one row
+    chosen = t.incidents.select("id", F.explode(F.array(F.lit(0), F.lit(1))).alias("nth")).join(every).select("id", "nth", F.concat(F.lit("s"), ((F.col("id") + F.col("nth")) % F.col("n")).cast("string")).alias("section_id"))
     return prompts.prompt_parts(t.incidents, sections, chosen, t.cases, t.now, f"card of {version}", version, t.cfg)
 
 
 @query("prompt_parts", over("incidents", "cases", sql="""
-WITH sim AS (SELECT i.id, count(c.id) AS n FROM incidents i LEFT JOIN cases c ON c.type = i.type AND c.incident_id <> i.id GROUP BY i.id),
-doc AS (SELECT i.id, count(*) AS n FROM incidents i, (VALUES (0), (1)) v(nth) WHERE (i.id + nth) % 40 IN (SELECT doc_id FROM documents WHERE n_chars < 4000) GROUP BY i.id)
-SELECT i.id, 4 + least(3, coalesce(sim.n, 0)) + coalesce(doc.n, 0) AS parts FROM incidents i LEFT JOIN sim USING (id) LEFT JOIN doc USING (id)"""))
+WITH sim AS (SELECT i.id, c.id AS case_id, row_number() OVER (PARTITION BY i.id ORDER BY CASE WHEN c.fingerprint = i.fingerprint THEN 0 WHEN c.host = i.host THEN 1 ELSE 2 END,
+    CASE c.status WHEN 'approved' THEN 0 ELSE 1 END, approved_at DESC, c.id DESC) - 1 AS pos FROM incidents i JOIN cases c ON c.type = i.type AND c.incident_id <> i.id)
+SELECT id, ord, name FROM incidents, (VALUES (0, 'rules'), (1, 'env_card'), (30, 'stats'), (40, 'dynamic')) v(ord, name)
+UNION ALL SELECT id, CAST(10 + nth AS INTEGER), 'doc:s' || CAST((id + nth) % (SELECT count(*) FROM documents) AS VARCHAR) FROM incidents, (VALUES (0), (1)) v(nth)
+UNION ALL SELECT id, CAST(20 + pos AS INTEGER), 'case:' || CAST(case_id AS VARCHAR) FROM sim WHERE pos < 3"""))
 def _(t):
-    return parts_of(t).groupBy("id").agg(F.count("*").alias("parts"))
+    return parts_of(t).select("id", "ord", "name")
+
+
+# three cases and the statistics per order, with the quantities of its lines as tokens
+@query("fit_parts_budget", """
+WITH p AS (SELECT l_orderkey AS id, CAST(20 + l_linenumber AS INTEGER) AS ord, CASE WHEN l_linenumber < 4 THEN 'case:' || CAST(l_partkey AS VARCHAR) WHEN l_linenumber = 4 THEN 'stats' ELSE 'rules' END AS name,
+  CAST(l_quantity * 15 AS INTEGER) AS tokens, l_linenumber AS n FROM (SELECT l_orderkey, l_linenumber, max(l_partkey) AS l_partkey, max(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2) l),
+c AS (SELECT id, max(tokens) FILTER (n = 1) AS a, max(tokens) FILTER (n = 2) AS b, max(tokens) FILTER (n = 3) AS c FROM p WHERE n < 4 GROUP BY id),
+u AS (SELECT id, a <= 810 AS k1, CASE WHEN a <= 810 THEN a ELSE 0 END AS u1, b, c FROM c),
+v AS (SELECT id, k1, u1 + b <= 810 AS k2, CASE WHEN u1 + b <= 810 THEN u1 + b ELSE u1 END AS u2, c FROM u)
+SELECT p.id, ord, name, tokens FROM p LEFT JOIN v ON v.id = p.id
+WHERE CASE WHEN n = 1 THEN k1 WHEN n = 2 THEN k2 WHEN n = 3 THEN u2 + c <= 810 WHEN n = 4 THEN tokens <= 180 ELSE true END""")
+def _(t):
+    n = F.col("l_linenumber")
+    name = F.when(n < 4, F.concat(F.lit("case:"), F.col("l_partkey").cast("string"))).when(n == 4, "stats").otherwise("rules")
+    lines = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("l_partkey"), F.max("l_quantity").alias("l_quantity"))
+    parts = lines.select(F.col("l_orderkey").alias("id"), (n + 20).cast("int").alias("ord"), name.alias("name"), F.lit("").alias("text"), (F.col("l_quantity") * 15).cast("int").alias("tokens"))
+    return prompts.fit_parts(parts, t.cfg).select("id", "ord", "name", "tokens")
 
 
 @query("fit_parts")

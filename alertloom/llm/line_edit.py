@@ -24,7 +24,8 @@ RADIUS = 2
 LEAST = 24
 FOLD = 1
 SLOTS = 23
-LETTERS = "etaoinsr"
+LETTERS = "etaoinsrhldcumf"
+CIRCLE = 0x8CEF7310  # the codes of 0 to 7, four bits each
 
 
 def takes_part(line: Column, least: int, fold: int | None) -> Column:
@@ -42,8 +43,8 @@ def line_rows(docs: DataFrame, least: int = LEAST, fold: int | None = None) -> D
 
 
 def distinct_lines(rows: DataFrame) -> DataFrame:
-    """``line, sign``: each line of ``rows(doc, line)`` with its letter counts."""
-    return rows.groupBy("line", letters(F.col("line")).alias("sign")).agg(F.lit(1).alias("one")).drop("one")
+    """``line, sign``: each line of ``rows(doc, line)`` with the codes of its letter counts."""
+    return signed(rows.select("line")).groupBy("line", "sign").agg(F.lit(1).alias("one")).drop("one")
 
 
 def segment(size: Column, radius: int, k: int) -> tuple[Column, Column]:
@@ -70,25 +71,27 @@ def keys(line: Column, size: Column, radius: int) -> tuple[Column, Column]:
     return F.array(*index), F.array(*probes)
 
 
-def letters(line: Column) -> Column:
-    """How often each of eight common letters stands in a line: counts modulo 256, packed into a long."""
-    counts = [(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c)))).cast("long") for c in LETTERS]
-    packed = F.lit(0).cast("long")
-    for k, n in enumerate(counts):
-        packed = packed.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(255)), 8 * k))
-    return packed
+def code(count: Column) -> Column:
+    """Four bits for a count modulo 8, such that the codes of two counts differ in as many bits as the counts are apart on that circle."""
+    return F.call_function("shiftrightunsigned", F.lit(CIRCLE), (count.bitwiseAND(F.lit(7)) * 4).cast("int")).bitwiseAND(F.lit(15)).cast("long")
+
+
+def signed(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``sign``: the codes of how often each of ``LETTERS`` stands in the line, and of its other characters. A letter is
+    counted by taking it away, each from what the letters before it left: in projections of their own, so each is done once."""
+    names = list(rows.columns)
+    left = rows.withColumns({"left": F.col("line"), "sign": F.lit(0).cast("long")})
+    for k, c in enumerate(LETTERS):
+        left = left.select(*names, "left", "sign", F.replace("left", F.lit(c)).alias("next"))
+        n = F.octet_length("left") - F.octet_length("next")
+        left = left.select(*names, F.col("next").alias("left"), F.col("sign").bitwiseOR(F.shiftleft(code(n), 4 * k)).alias("sign"))
+    return left.select(*names, F.col("sign").bitwiseOR(F.shiftleft(code(F.length("left")), 4 * len(LETTERS))).alias("sign"))
 
 
 def may_link(a: Column, b: Column, radius: int) -> Column:
-    """False only for letter counts that no ``radius`` edits can turn into each other: an edit adds one letter at most and
-    takes one at most. Counts of other letters, and of other scripts, say nothing and let the pair through."""
-    more = fewer = F.lit(0).cast("long")
-    for k in range(len(LETTERS)):
-        one, two = (F.shiftrightunsigned(sign, 8 * k).bitwiseAND(F.lit(255)) for sign in (a, b))
-        gap = (one - two).bitwiseAND(F.lit(255))
-        more = more + F.when(gap < 128, gap).otherwise(0)
-        fewer = fewer + F.when(gap < 128, 0).otherwise(256 - gap)
-    return (more <= radius) & (fewer <= radius)
+    """False only for lines that no ``radius`` edits turn into each other: an edit takes one character at most and adds one at most,
+    so it moves the counts of two classes by one, and two bits of the signs."""
+    return F.bit_count(a.bitwiseXOR(b)) <= 2 * radius
 
 
 def distance(a: Column, b: Column, radius: int) -> Column:

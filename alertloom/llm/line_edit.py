@@ -24,6 +24,7 @@ RADIUS = 2
 LEAST = 24
 FOLD = 1
 SLOTS = 23
+PIECES = 16
 LETTERS = "etaoinsrhldcumf"
 CIRCLE = 0x8CEF7310  # the codes of 0 to 7, four bits each
 
@@ -125,13 +126,25 @@ def distance(a: Column, b: Column, radius: int) -> Column:
                 cost = F.when(item["j"] >= F.greatest(F.lit(0), -lean), one - bit_of(d, bit)).otherwise(zero)
                 return F.struct(hn.bitwiseOR(F.bitwise_not(down.bitwiseOR(hp)).bitwiseAND(mask)).alias("vp"),
                                 down.bitwiseAND(hp).alias("vn"), (state["cost"] + cost).alias("cost"))
-            return let(let(same, deltas), move)
+            # a diagonal never grows cheaper: beyond the radius nothing is left to learn
+            return F.when(state["cost"] > radius, state).otherwise(let(let(same, deltas), move))
         items = F.transform(columns, lambda c, j: F.struct(c.alias("c"), j.alias("j")))
         first = F.struct(start.alias("vp"), zero.alias("vn"), F.abs(lean).cast("long").alias("cost"))
         return F.aggregate(items, first, step, lambda s: s["cost"])
     return let(F.filter(F.split(a, "", -1), lambda c: c != ""), lambda rows: let(F.filter(F.split(b, "", -1), lambda c: c != ""), lambda cols: run(rows, cols)))
 
 
+def same_pieces(a: Column, b: Column, radius: int) -> Column:
+    """False only beyond the radius: of ``PIECES`` even pieces of a line at most ``radius`` meet an edit, and each other one stands
+    in the other line at most ``radius`` places away."""
+    found = F.lit(0)
+    for k in range(PIECES):
+        start = F.floor(F.length(a) * k / PIECES).cast("int") + 1
+        width = F.floor(F.length(a) * (k + 1) / PIECES).cast("int") - start + 1
+        found = found + F.contains(F.substring(b, F.greatest(F.lit(1), start - radius), width + 2 * radius), F.substring(a, start, width)).cast("int")
+    return found >= PIECES - radius
+
+
 def bit_of(value: Column, bit: Column) -> Column:
     """One bit of a long at a place that differs by row."""
     return F.call_function("getbit", value, bit).cast("long")
@@ -162,7 +175,9 @@ def links(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
     texts = stored(texts, "texts")
     a, b = (texts.select(*[F.col(c).alias(f"{c}_{side}") for c in ("doc", "hash", "line")]) for side in "ab")
     both = pairs.join(a, "hash_a").join(b, "hash_b")
-    found = both.where(distance(F.col("line_a"), F.col("line_b"), radius) <= radius)
+    one, two = F.col("line_a"), F.col("line_b")
+    # the pieces are compared in compiled code and leave few pairs to the distance, which is exact
+    found = both.where(F.when(same_pieces(one, two, radius), distance(one, two, radius)) <= radius)
     ahead = F.struct("doc_a", "hash_a") < F.struct("doc_b", "hash_b")
     pick = lambda c, x, y: F.when(ahead, F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}"))
     return found.select(*[pick(c, *sides).alias(f"{c}_{sides[0]}") for sides in ("ab", "ba") for c in ("doc", "hash")])

@@ -29,6 +29,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def aside(docs: DataFrame) -> tuple[list[Column], list[Column]]:
+    """The columns of ``docs`` under names of their own, ``c0`` and so on, and the way back: helper columns that begin with an
+    underscore stand beside them whatever the input's names are."""
+    there = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    return there, [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]
+
+
 def words(text: Column) -> Column:
     """Words between the six ASCII spaces; an empty array for null."""
     return F.filter(F.coalesce(F.split(text, SPACE, -1), F.array().cast("array<string>")), lambda w: w != "")

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertloom.llm.common import components, let, stored
+from alertloom.llm.common import aside, components, let, stored
 
 RADIUS = 2
 LEAST = 24
@@ -257,7 +257,9 @@ def dedup(docs: DataFrame, radius: int = RADIUS, least: int = LEAST, fold: int |
             (F.array_position(lines, e["line"]) == e["i"] + 1) & ~F.array_contains(gone, F.struct(F.xxhash64(e["line"]).alias("h1"), F.xxhash64(F.lit(1), e["line"]).alias("h2")))))
         return F.array_join(F.transform(first, lambda e: e["line"]), "\n")
     none = F.array().cast("array<struct<h1:bigint,h2:bigint>>")
-    text = let(F.split(F.col("text").cast("string"), "\n", -1), lambda lines: let(F.coalesce("_gone", none), lambda gone: kept(lines, gone)))
-    joined = docs.join(lost, F.col("doc_id") == F.col("_doc"), "left")
-    return joined.withColumn("text", F.when(F.col("doc_id").isNull() | F.col("text").isNull(), F.col("text")).otherwise(text)).select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+    there, back = aside(docs)
+    number, whole = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text"))
+    text = let(F.split(whole.cast("string"), "\n", -1), lambda lines: let(F.coalesce("_gone", none), lambda gone: kept(lines, gone)))
+    joined = docs.select(*there).join(lost, number == F.col("_doc"), "left")
+    kept_text = F.when(number.isNull() | whole.isNull(), whole).otherwise(text).alias("text")
+    return joined.select(*[kept_text if c == "text" else was for c, was in zip(docs.columns, back)])

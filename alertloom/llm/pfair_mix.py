@@ -31,11 +31,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from alertloom.llm.common import stored
+from alertloom.llm.common import aside, stored
 
 PERIOD = 1024
 BLOCK = 8
-MOST_SOURCES = 256
 
 
 class Phase(NamedTuple):
@@ -181,12 +180,19 @@ def tempered(counts: dict[str, int], alpha: float) -> dict[str, float]:
     return {s: n ** alpha for s, n in counts.items()}
 
 
-def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = 0.5, block: int = BLOCK,
-             period: int = PERIOD, source: str = "source", order: str = "doc_id", most_sources: int | None = MOST_SOURCES) -> DataFrame:
-    """Every row of ``docs`` with ``_mix``: block, slot, release, deadline (in slots) and the place inside the block. ``period``
-    is the least length of the ranges that tasks schedule apart; the bounds do not depend on it."""
+def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, **options) -> DataFrame:
+    """Every row of ``docs`` with ``_mix``: block, slot, release, deadline (in slots) and the place inside the block. It takes the
+    place of an input column of that name."""
+    docs = docs.drop("_mix")
+    return scheduled(docs, weights, **options).select(*aside(docs)[1], "_mix")
+
+
+def scheduled(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = 0.5, block: int = BLOCK,
+              period: int = PERIOD, source: str = "source", order: str = "doc_id", most_sources: int | None = None) -> DataFrame:
+    """``schedule`` with the input's columns under the names of ``aside``. ``period`` is the least length of the ranges that
+    tasks schedule apart; the bounds do not depend on it."""
     key = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n"))
-    held = numbered(docs.withColumn("_source", key), [F.col(order)])
+    held = numbered(docs.select(*aside(docs)[0], key.alias("_source")), [F.col(f"c{docs.columns.index(order)}")])
     held = held.withColumn("_block", F.expr(f"_rank div {block}"))
     sizes = held.groupBy("_source").agg((F.max("_rank") + 1).alias("n"))
     sizes = (sizes if most_sources is None else sizes.limit(most_sources + 1)).collect()
@@ -202,22 +208,25 @@ def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, al
     placed = held.join(table, ["_source", "_block"])
     mix = F.struct(F.col("_block").alias("block"), *[F.col(f"_{c}").alias(c) for c in ("slot", "release", "deadline")],
                    F.pmod("_rank", F.lit(block)).alias("place")).alias("_mix")
-    return placed.select(*[F.col(f"`{c}`") for c in docs.columns], mix)
+    return placed.select(*[f"c{i}" for i in range(len(docs.columns))], mix)
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, in the order of their slots across files: ``places`` reads it from the written files."""
-    placed = schedule(docs, **{"most_sources": None} | options)
+    placed = scheduled(docs, **options)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (placed.repartitionByRange(n, "_mix.slot", "_mix.place").sortWithinPartitions("_mix.slot", "_mix.place").drop("_mix"))
+    return (placed.repartitionByRange(n, "_mix.slot", "_mix.place").sortWithinPartitions("_mix.slot", "_mix.place").select(*aside(docs)[1]))
 
 
 def places(docs: DataFrame, name: str = "place") -> DataFrame:
     """Rows read from Parquet files that Spark wrote, with their place from 0: by number of the part file, its name, and the row
-    in it. However the reader packs and splits the files, this is the order in which ``mixed`` left the rows."""
-    held = docs.withColumns({"_file": F.col("_metadata.file_name"), "_row": F.col("_metadata.row_index")})
+    in it; an input column of that name goes. However the reader packs and splits the files, this is the order in which ``mixed`` left the rows."""
+    docs = docs.drop(name)
+    there, back = aside(docs)
+    told = docs.metadataColumn("_metadata")
+    held = docs.select(*there, told["file_name"].alias("_file"), told["row_index"].alias("_row"))
     counts = held.groupBy("_file").agg(F.count("*").alias("_n"))
     # one row per file
     order = W.orderBy(F.regexp_extract("_file", "^part-([0-9]+)", 1).cast("long"), "_file").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.select("_file", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_start"))
-    return held.join(F.broadcast(starts), "_file").select(*[F.col(f"`{c}`") for c in docs.columns], (F.col("_start") + F.col("_row")).alias(name))
+    return held.join(F.broadcast(starts), "_file").select(*back, (F.col("_start") + F.col("_row")).alias(name))

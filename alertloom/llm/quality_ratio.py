@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertloom.llm.common import let, stored, words
+from alertloom.llm.common import aside, let, stored, words
 
 TOKEN = "[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]+"
 BUCKETS = 1 << 16
@@ -83,9 +83,15 @@ def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smooth:
         MICRO * (share("good", "all_good") - share("raw", "all_raw"))).cast("long")).otherwise(F.lit(0)).alias("weight"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Every row of ``docs`` with a struct ``_verdict``: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, score (mean weight in millionths), kept. Scores are summed per distinct text: copies do not change a mean."""
+    base_failed, score (mean weight in millionths), kept. It takes the place of an input column of that name."""
+    docs = docs.drop("_verdict")
+    return judged(docs, labels, **options).select(*aside(docs)[1], "_verdict")
+
+
+def judged(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
+    """``judge`` with the input's columns under the names of ``aside``. Scores are summed per distinct text: copies do not change a mean."""
     key = [F.xxhash64(F.coalesce("text", F.lit(""))).alias("_t1"), F.xxhash64(F.lit(1), F.coalesce("text", F.lit(""))).alias("_t2")]
     docs = docs.withColumn("text", F.col("text").cast("string"))
     table = stored(weights(docs, trusted_ids(labels), buckets), "weights")
@@ -94,15 +100,15 @@ def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold:
               .select("_t1", "_t2", F.explode("_grams").alias("bucket"))
               .join(F.broadcast(table), "bucket")  # at most ``buckets`` rows
               .groupBy("_t1", "_t2").agg(F.round(F.sum("weight") / F.count("*")).cast("long").alias("_score")))
-    rules = docs.select("*", base_rules(F.col("text")).alias("_rules"), *key)
+    rules = docs.select(*aside(docs)[0], base_rules(F.col("text")).alias("_rules"), *key)
     scored = rules.join(scores, ["_t1", "_t2"], "left")
     n, again, score = F.col("_rules.n_words"), F.col("_rules.n_repeat_words"), F.coalesce("_score", F.lit(0))
     failed = (n < 50) | (100 * again > 50 * n)
     verdict = F.struct(*[F.col(f"_rules.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
                        failed.alias("base_failed"), score.alias("score"), (~failed & (score >= round(threshold * MICRO))).alias("kept"))
-    return scored.select(*[F.col(f"`{c}`") for c in docs.columns], verdict.alias("_verdict"))
+    return scored.withColumn("_verdict", verdict).drop("_t1", "_t2", "_rules", "_score")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows that pass, with the columns they came with."""
-    return judge(docs, labels, **options).where("_verdict.kept").drop("_verdict")
+    return judged(docs, labels, **options).where("_verdict.kept").select(*aside(docs)[1])

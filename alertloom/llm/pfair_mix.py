@@ -35,6 +35,7 @@ from alertloom.llm.common import aside, stored
 
 PERIOD = 1024
 BLOCK = 8
+MOST_SOURCES = 256
 
 
 class Phase(NamedTuple):
@@ -188,7 +189,7 @@ def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, **
 
 
 def scheduled(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = 0.5, block: int = BLOCK,
-              period: int = PERIOD, source: str = "source", order: str = "doc_id", most_sources: int | None = None) -> DataFrame:
+              period: int = PERIOD, source: str = "source", order: str = "doc_id", most_sources: int | None = MOST_SOURCES) -> DataFrame:
     """``schedule`` with the input's columns under the names of ``aside``. ``period`` is the least length of the ranges that
     tasks schedule apart; the bounds do not depend on it."""
     key = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n"))
@@ -213,7 +214,7 @@ def scheduled(docs: DataFrame, weights: dict[str | None, float] | None = None, a
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, in the order of their slots across files: ``places`` reads it from the written files."""
-    placed = scheduled(docs, **options)
+    placed = scheduled(docs, **{"most_sources": None} | options)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (placed.repartitionByRange(n, "_mix.slot", "_mix.place").sortWithinPartitions("_mix.slot", "_mix.place").select(*aside(docs)[1]))
 

@@ -83,11 +83,11 @@ def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smooth:
         MICRO * (share("good", "all_good") - share("raw", "all_raw"))).cast("long")).otherwise(F.lit(0)).alias("weight"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
     """Every row of ``docs`` with a struct ``_verdict``: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, score (mean weight in millionths), kept. It takes the place of an input column of that name."""
     docs = docs.drop("_verdict")
-    return judged(docs, labels, **options).select(*aside(docs)[1], "_verdict")
+    return judged(docs, labels, buckets, threshold).select(*aside(docs)[1], "_verdict")
 
 
 def judged(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from alertloom.functions import times
-from alertloom.functions.text import estimate_tokens, one_line
+from alertloom.functions.text import milli_tokens, once, one_line, whole_tokens
 from alertloom.operators.reports import parsed, shown_analysis
 
 CARD_TOKENS = 300
@@ -63,21 +63,27 @@ def confirm_cases(drafts: DataFrame, verdicts: DataFrame, now: Column) -> DataFr
 def fit_card(cards: DataFrame, limit: int = CARD_TOKENS) -> DataFrame:
     """Halve action, then confirmation, then symptoms until the card fits; the cause is never cut.
 
-    The halvings of a field are a fixed short ladder (300 characters are gone after nine), so each field is chosen by one
-    expression: the first step of its ladder that fits.
+    The halvings of a field are a fixed short ladder (300 characters are gone after nine). The whole card is estimated once: a field
+    stands between a colon and a line end, so a step adds what its own text differs in.
     """
-    def tokens(action: Column, confirmation: Column, symptoms: Column) -> Column:
-        return estimate_tokens(card_text(F.col("host"), F.col("type"), F.col("occurred_on"), symptoms, F.col("cause"),
-                                         confirmation, action, F.col("time_to_recover_sec")))
-    out = cards
+    def milli(name: str, value: Column) -> Column:
+        shown = value if name == "symptoms" else F.when(value == "", NO_RECORD).otherwise(value)
+        return milli_tokens(F.concat(F.lit(" "), shown))
+
+    def halved(name: str, value: Column) -> Column:
+        half = F.concat(F.regexp_replace(F.substr(value, F.lit(1), F.floor(F.length(value) / 2).cast("int")), r"(?U)\s+\z", ""), F.lit("…"))
+        return once(half, lambda cut: F.struct(cut.alias("text"), milli(name, cut).alias("milli")))
+    out = cards.withColumn("_milli", milli_tokens(card_text(*[F.col(c) for c in (
+        "host", "type", "occurred_on", "symptoms", "cause", "confirmation", "action", "time_to_recover_sec")])))
     for name in ("action", "confirmation", "symptoms"):
-        for _ in range(9):
-            now_ = F.col(name)
-            size = tokens(F.col("action"), F.col("confirmation"), F.col("symptoms"))
-            half = F.concat(F.regexp_replace(F.substr(now_, F.lit(1), F.floor(F.length(now_) / 2).cast("int")), r"(?U)\s+\z", ""),
-                            F.lit("…"))
-            out = out.withColumn(name, F.when((size > limit) & (F.length(now_) > 2), half).otherwise(now_))
-    return out.withColumn("tokens", tokens(F.col("action"), F.col("confirmation"), F.col("symptoms")))
+        out = out.withColumn("_own", F.when(whole_tokens(F.col("_milli")) > limit, F.struct(F.col(name).alias("text"), milli(name, F.col(name)).alias("milli"))))
+        over = lambda x: whole_tokens(F.col("_milli") - F.col("_own.milli") + x["milli"]) > limit
+        steps = F.aggregate(F.sequence(F.lit(1), F.lit(9)), F.col("_own"), lambda x, _: F.when(
+            over(x) & (F.length(x["text"]) > 2), halved(name, x["text"])).otherwise(x))
+        out = out.withColumn("_cut", F.when(F.col("_own").isNotNull(), steps)).withColumns({
+            name: F.when(F.col("_own").isNull(), F.col(name)).otherwise(F.col("_cut.text")),
+            "_milli": F.when(F.col("_own").isNull(), F.col("_milli")).otherwise(F.col("_milli") - F.col("_own.milli") + F.col("_cut.milli"))})
+    return out.withColumn("tokens", whole_tokens(F.col("_milli"))).drop("_milli", "_own", "_cut")
 
 
 def similar_cases(incidents: DataFrame, cases: DataFrame, k: int = 3) -> DataFrame:

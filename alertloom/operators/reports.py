@@ -184,19 +184,31 @@ def host_history(incidents: DataFrame, now: Column, cfg: Settings = Settings())
     Each host keeps its newest few first (a bounded rank, cut before the shuffle), so a noisy host costs no more than
     a quiet one and no incident meets all others of its host.
     """
-    k = cfg.history_max
+    own = pools_of_hosts(incidents.select("id", "host"), newest_of_hosts(incidents, now, cfg), cfg)
+    others = F.slice(others_of(F.col("pool"), F.col("root_pool")), 1, cfg.history_max)
+    return own.select("id", F.posexplode(others).alias("pos", "e")).select("id", "pos", F.col("e.other_id").alias("other_id"))
+
+
+def newest_of_hosts(incidents: DataFrame, now: Column, cfg: Settings = Settings()) -> DataFrame:
+    """The newest ``history_max`` + 1 incidents of every host: one of them may be the one that asks."""
     since = times.add_seconds(now, -86400 * cfg.history_days)
     recent = incidents.where((F.col("source") != GROUP) & (F.col("started_at") >= since))
     nth = F.row_number().over(W.partitionBy("host").orderBy(F.desc("started_at"), F.asc("id")))
-    newest = recent.select("id", "host", "started_at", nth.alias("nth")).where(F.col("nth") <= k + 1)
-    entry = F.struct((-times.seconds(F.col("started_at"))).alias("age"), F.col("id").alias("other_id"))
-    pools = newest.groupBy("host").agg(F.collect_list(entry).alias("pool"))  # at most k + 1 entries
+    return recent.select("id", "host", "started_at", nth.alias("nth")).where(F.col("nth") <= cfg.history_max + 1).drop("nth")
+
+
+def pools_of_hosts(incidents: DataFrame, newest: DataFrame, cfg: Settings = Settings(), *carried: str) -> DataFrame:
+    """Incidents with the newest ones of their host (``pool``) and of the root host (``root_pool``), null where there are none."""
+    entry = F.struct((-times.seconds(F.col("started_at"))).alias("age"), F.col("id").alias("other_id"), *carried)
+    pools = newest.groupBy("host").agg(F.collect_list(entry).alias("pool"))  # at most history_max + 1 entries
     root = pools.where(F.col("host") == cfg.root_host).select(F.col("pool").alias("root_pool"))
-    own = incidents.select("id", "host").join(pools, "host", "left").join(F.broadcast(root), how="left")
-    empty = F.array().cast("array<struct<age: bigint, other_id: bigint>>")
-    merged = F.array_sort(F.array_distinct(F.concat(F.coalesce("pool", empty), F.coalesce("root_pool", empty))))
-    others = F.slice(F.filter(merged, lambda e: e["other_id"] != F.col("id")), 1, k)
-    return own.select("id", F.posexplode(others).alias("pos", "e")).select("id", "pos", F.col("e.other_id").alias("other_id"))
+    return incidents.join(pools, "host", "left").join(F.broadcast(root), how="left")
+
+
+def others_of(pool: Column, root_pool: Column) -> Column:
+    """The entries of both pools, newest first, without the incident itself."""
+    merged = F.array_sort(F.array_distinct(F.flatten(F.array_compact(F.array(pool, root_pool)))))
+    return F.filter(merged, lambda e: e["other_id"] != F.col("id"))
 
 
 def fingerprint_stats(incidents: DataFrame, now: Column, cfg: Settings = Settings()) -> DataFrame:

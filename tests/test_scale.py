@@ -6,7 +6,9 @@ import random
 from pyspark.sql import functions as F
 
 from alertloom.functions import text
-from alertloom.operators import cases
+from alertloom.operators import cases, prompts
+from alertloom.plans import q_prompts
+from alertloom.plans.tables import Tables
 
 
 def plan_of(df):
@@ -30,3 +32,27 @@ def test_a_card_is_estimated_once(spark):
     got = {r.id: r for r in df.collect()}
     assert got[1].tokens <= 100 and got[1].action.endswith("…") and got[2].action == ""
     assert plan_of(df).count("regexp_replace") < 200
+
+
+def test_history_is_sized_line_by_line(spark):
+    """The most lines that fit stay, whether their sizes come with the block or not; a trimmed block is not built for every length."""
+    rnd = random.Random(8)
+    rows = [(i, i % 3 == 0, f"head {i}", ["a: b"] * (i % 4), ["a: c"], [rnd.choice([None, " ", f"I-{i} up  ", "x 1 " * 9]) for _ in range(i % 12)], ["m1", "m2"]) for i in range(60)]
+    blocks = spark.createDataFrame(rows, "id int, is_group boolean, head string, raw_long array<string>, raw_short array<string>, history array<string>, members array<string>")
+    got = prompts.trim_dynamic(blocks, 90)
+    sized = prompts.trim_dynamic(blocks.withColumn("history_milli", F.transform("history", prompts.line_milli)), 90)
+    assert sorted(got.collect()) == sorted(sized.collect())
+    assert plan_of(got).count("older ones left out") < 8
+    for n in range(1, 12):  # one line more would not have fitted
+        longer = blocks.join(got.where("NOT short_payload AND dropped_history > 0").select("id", "dropped_history"), "id").where(f"size(history) = {n}").select(
+            "id", text.estimate_tokens(prompts._dynamic(F.col("dropped_history") - 1, False, False)).alias("t"))
+        assert longer.where("t <= 90").count() == 0
+
+
+def test_shared_parts_are_estimated_before_they_meet_incidents(spark):
+    """Sizes of documents come with the documents: what only needs sizes reads no text behind the join."""
+    t = Tables(spark, "/root/testdata/sf0.001")
+    fitted = prompts.fit_parts(q_prompts.parts_of(t), t.cfg).groupBy("name").agg(F.sum("tokens"))
+    plan = plan_of(fitted)
+    assert plan.index("Join Inner, (section_id") < plan.index("concat(<doc")
+    spark.catalog.clearCache()

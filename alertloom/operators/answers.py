@@ -5,8 +5,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertloom.functions.text import DANGEROUS, RESERVED, neutralise
-from alertloom.operators.commands import classify_commands, match_commands
+from alertloom.operators.commands import classify_distinct, match_commands
 from alertloom.operators.reports import parsed
+from alertloom.operators.scans import join_by_count
 from alertloom.session import checkpoint_dir
 
 # Codes of an answer, and the form it must have.
@@ -134,12 +135,12 @@ def validation_summary(problems: DataFrame, shown: int = 3) -> DataFrame:
 def split_checks(analyses: DataFrame, templates: DataFrame) -> DataFrame:
     """Recommended checks of done runs: excluded with a reason when the command changes something, else with whether a
     command of the manual matches."""
-    checks = parsed(analyses).where("answer IS NOT NULL").select("id", F.posexplode("answer.recommended_checks").alias("pos", "c")) \
+    checks = parsed(analyses).select("id", F.posexplode("answer.recommended_checks").alias("pos", "c")) \
         .select("id", "pos", "c.purpose", neutralise(F.col("c.command")).alias("command"))
-    judged = classify_commands(checks)
-    distinct = judged.where("reason IS NULL").select(F.col("command").alias("check_id"), "command").distinct()
+    judged = classify_distinct(checks).persist()
+    distinct = judged.where("reason IS NULL").select(F.col("command").alias("check_id"), "command")
     verified = match_commands(distinct, templates).select("command", "verified")
-    return judged.join(verified, "command", "left").select("id", "pos", "purpose", "command", "reason", F.when(
+    return join_by_count(checks, judged.join(verified, "command", "left"), "command").select("id", "pos", "purpose", "command", "reason", F.when(
         F.col("reason").isNull(), F.coalesce("verified", F.lit(False))).alias("verified"))
 
 

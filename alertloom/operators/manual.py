@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from alertloom.functions.text import confirmed_on, estimate_tokens, extract_terms, fold, once
-from alertloom.operators.scans import carry
+from alertloom.operators.scans import carry, settled
 from alertloom.settings import Settings
 
 # A fenced block: the closing line repeats the opening mark, at least as long, with nothing after it.
@@ -60,7 +60,7 @@ def _numbered(outside: Column, blocks: Column) -> Column:
 def split_sections(files: DataFrame) -> DataFrame:
     """``files(file, text)`` to sections at headings of level 1 to 3. A file with a fence that is never closed gives none;
     ``split_rejects`` lists it. Sectioning stays inside the row of the file; only finished sections are shuffled."""
-    good = files.where(~has_open_fence(F.col("text")))
+    good = settled(files.select("file", "text"), "text").where(~has_open_fence(F.col("text")))
     numbered = good.select("file", F.filter(_lines(F.col("text")), lambda x: ~x["diagram"]).alias("a"))
     # of blank lines outside code only the first in a row stays
     kept = numbered.select("file", F.filter("a", lambda x, i: x["code"] | (x["line"] != "") | (i == 0) | F.coalesce(

@@ -125,7 +125,7 @@ FROM (SELECT *, count(*) OVER (PARTITION BY term) AS n, (SELECT count(*) FROM se
 
 @query("term_index", over("tindex", sql="SELECT * FROM tindex"))
 def _(t):
-    return manual.term_index(sections_of(t))
+    return manual.term_index(sections_of(t).persist())  # a stored table in use; its postings are counted and then read
 
 
 @query("resolve_hosts", """
@@ -180,7 +180,7 @@ def _(t):
 
 @query("build_card")
 def _(t):
-    s = sections_of(t)
+    s = sections_of(t).persist()  # a stored table in use, read by every part of the card
     return manual.build_card(s, entries_of(t).withColumn("heading", F.lit("doc")), s.where("heading = 'End'").agg(F.min("id").alias("id")), F.lit(TODAY), 90, t.cfg)
 
 
@@ -309,7 +309,7 @@ def _(t):
 @query("allow_findings", r"""
 SELECT doc_id, 'finding' AS part FROM documents WHERE doc_id % 11 IN (0, 1, 2, 3, 6) AND doc_id % 2 = 1 UNION ALL SELECT doc_id, 'unused' FROM documents WHERE doc_id % 11 = 7 AND doc_id % 2 = 0""")
 def _(t):
-    found = secrets.scan_secrets(secret_texts(t))
+    found = secrets.scan_secrets(secret_texts(t)).persist()  # few rows; the scan behind them runs once
     allow = found.where("doc_id % 2 = 0").select("doc_id", "digest").unionByName(
         t.documents.where("doc_id % 11 = 7 AND doc_id % 2 = 0").select("doc_id", F.lit("0").alias("digest")))
     left, unused = secrets.allow_findings(found, allow)

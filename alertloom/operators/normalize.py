@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from alertloom.functions import codes, times
 from alertloom.functions.text import clean_text
+from alertloom.operators.scans import settled
 from alertloom.settings import (HOST_LIMIT, ID_LIMIT, KEPT_HOSTS, KEPT_ITEMS, KEPT_TAGS, LOG_LIMIT, OPDATA_LIMIT, PROBLEM, SECURITY, TITLE_LIMIT,
                                 Settings)
 
@@ -75,6 +76,7 @@ def normalize_problems(items: DataFrame, now: Column, cfg: Settings = Settings()
                                                                        _text(h, "$.name", HOST_LIMIT).alias("name"))),
         "items": F.transform(_objects(v, "$.items"), lambda i: F.struct(_text(i, "$.itemid", ID_LIMIT).alias("itemid"), _text(i, "$.key_", 255).alias("key_"),
                                                                        _text(i, "$.name", TITLE_LIMIT).alias("name")))})
+    base = settled(base, *[c for c in base.columns if c not in ("origin", "pos", "item")])
     started = times.epoch_time(F.col("clock").cast("string"))
     recovered = times.epoch_time(F.col("r_clock").cast("string"))
     reason = _first(
@@ -111,6 +113,7 @@ def normalize_security(items: DataFrame, cfg: Settings = Settings()) -> DataFram
         "agent": _text(v, "$._source.agent.name", HOST_LIMIT), "srcip": _text(v, "$._source.data.srcip", 64),
         "description": _text(v, "$._source.rule.description", TITLE_LIMIT),
         "groups": F.transform(F.coalesce(F.try_variant_get(v, "$._source.rule.groups", "array<string>"), F.array().cast("array<string>")), lambda g: clean_text(g, 100))})
+    base = settled(base, *[c for c in base.columns if c not in ("origin", "pos", "item")])
     reason = _first(
         (~F.col("is_object"), "not an object"), (~_is_scalar(v, "$._id") | (F.col("external_id") == ""), "_id missing or mistyped"),
         (~_is_scalar(v, "$._source.rule.id") | (F.col("rule_id") == ""), "rule.id missing or mistyped"), (F.col("level").isNull(), "rule.level unreadable"),

@@ -14,6 +14,7 @@ from alertloom.settings import Settings
 from alertloom.sources import captures, snapshots, tables
 
 NOW = f"TIMESTAMP '{adapters.NOW}'"
+PER_TASK = 50_000  # captured arrays that one task parses
 
 
 def problem_captures(t):
@@ -21,14 +22,14 @@ def problem_captures(t):
     return t._view(r"""SELECT CAST(event_id AS STRING) AS origin, concat('[7, {"eventid": ', CASE WHEN event_id % 9 = 3 THEN 'true' ELSE concat('"', event_id, '"') END, ', "objectid": ', user_id,
   ', "severity": "', event_id % 6, '", "clock": "', unix_timestamp(ts), '", "name": "load \\ud800 on host", "r_eventid": "', CASE WHEN event_id % 4 = 0 THEN 0 ELSE event_id + 1 END,
   '", "r_clock": "', CASE WHEN event_id % 4 = 1 THEN unix_timestamp(ts) + 60 ELSE 0 END, '", "tags": [{"tag": "component", "value": "', CASE WHEN event_id % 2 = 0 THEN 'cpu' ELSE 'x' END,
-  '"}, 5], "hosts": [{"host": "host-', user_id % 10, '"}], "items": [{"itemid": "1", "key_": "', CASE WHEN event_id % 5 = 0 THEN 'icmpping[]' ELSE 'vm.memory.size' END, '"}]}]') AS value FROM events""", events=t.spread(t.events))
+  '"}, 5], "hosts": [{"host": "host-', user_id % 10, '"}], "items": [{"itemid": "1", "key_": "', CASE WHEN event_id % 5 = 0 THEN 'icmpping[]' ELSE 'vm.memory.size' END, '"}]}]') AS value FROM events""", events=t.spread(t.events, PER_TASK))
 
 
 def security_captures(t):
     return t._view(r"""SELECT CAST(event_id AS STRING) AS origin, concat('[{"_id": "a', event_id, '", "_source": {"timestamp": "', CASE WHEN event_id % 8 = 5 THEN 'never' ELSE
   date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'") END, '", "agent": {"id": "1", "name": "host-', user_id % 10, '"}, "rule": {"id": "', event_id % 1000 + 5000, '", "level": ', event_id % 16,
   ', "description": "', CASE WHEN event_id % 3 = 0 THEN '' ELSE 'login' END, '", "groups": ["', CASE event_type WHEN 'view' THEN 'sshd' WHEN 'click' THEN 'syscheck' ELSE 'web' END,
-  '"]}, "data": {"srcip": "10.0.0.', user_id % 5, '"}, "full_log": "line"}}]') AS value FROM events""", events=t.spread(t.events))
+  '"]}, "data": {"srcip": "10.0.0.', user_id % 5, '"}, "full_log": "line"}}]') AS value FROM events""", events=t.spread(t.events, PER_TASK))
 
 
 def security_of(t):

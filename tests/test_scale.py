@@ -82,3 +82,8 @@ def test_findings_come_from_one_scan(spark):
     df = QUERIES["allow_findings"](Tables(spark, "/root/testdata/sf0.001"))
     assert df._jdf.queryExecution().withCachedData().toString().count("InMemoryRelation") >= 3
     spark.catalog.clearCache()
+
+
+def test_a_task_parses_a_bounded_number_of_rows(spark):
+    rows = spark.range(0, 2000, 1, 2)
+    assert Tables(spark, "/root/testdata/sf0.001").spread(rows, 50).rdd.getNumPartitions() == 40

@@ -19,15 +19,27 @@ HEADING = r"^(#{1,3})[ \t]+([^ \t].*)$"
 RIGHT_BLANKS = r"(?U)\s+\z"
 
 
+def no_fence(text: Column) -> Column:
+    """True for most texts: they hold no mark of a fence, and none of the patterns of fences has to look at them."""
+    return ~(F.contains(text, F.lit("```")) | F.contains(text, F.lit("~~~")))
+
+
 def has_open_fence(text: Column) -> Column:
     """Is some fence of the text never closed?"""
-    return F.exists(F.split(text, FENCED, -1), lambda outside: outside.rlike(FENCE_OPEN))
+    return F.when(no_fence(text), False).otherwise(F.exists(F.split(text, FENCED, -1), lambda outside: outside.rlike(FENCE_OPEN)))
+
+
+def _bare(line: Column) -> Column:
+    """Line without the blanks at its end; only one that ends with a blank is searched."""
+    return F.when(F.substring(line, -1, 1).rlike(r"(?U)\s"), F.regexp_replace(line, RIGHT_BLANKS, "")).otherwise(line)
 
 
 def _lines(text: Column) -> Column:
     """Lines with their number from 1, whether they are code, and whether they belong to a diagram. The text is cut once; every
     piece of it is then looked at once."""
-    return once(F.split(text, FENCED, -1), lambda outside: once(F.regexp_extract_all(text, F.lit(FENCED), F.lit(0)), lambda blocks: _numbered(outside, blocks)))
+    plain, none = no_fence(text), F.array().cast("array<string>")
+    return once(F.when(plain, F.array(text)).otherwise(F.split(text, FENCED, -1)), lambda outside: once(
+        F.when(plain, none).otherwise(F.regexp_extract_all(text, F.lit(FENCED), F.lit(0))), lambda blocks: _numbered(outside, blocks)))
 
 
 def _numbered(outside: Column, blocks: Column) -> Column:
@@ -46,7 +58,7 @@ def _numbered(outside: Column, blocks: Column) -> Column:
 
     def tagged(lines: Column, code: bool, diagram: Column) -> Column:
         return F.transform(lines, lambda x: F.struct(
-            (x if code else F.regexp_replace(x, RIGHT_BLANKS, "")).alias("line"), F.lit(code).alias("code"), diagram.alias("diagram")))
+            (x if code else _bare(x)).alias("line"), F.lit(code).alias("code"), diagram.alias("diagram")))
 
     def is_diagram(i: Column) -> Column:
         info = F.lower(F.regexp_extract(F.try_element_at(blocks, i + 1), r"^ {0,3}(?:`+|~+)[ \t]*([^ \n]*)", 1))
@@ -68,7 +80,7 @@ def split_sections(files: DataFrame) -> DataFrame:
 
     def level(x: Column) -> Column:
         mark = F.regexp_extract(x["line"], HEADING, 1)
-        return F.when(~x["code"] & (F.length(x["line"]) <= 200), F.length(mark)).otherwise(0)
+        return F.when(~x["code"] & x["line"].startswith("#") & (F.length(x["line"]) <= 200), F.length(mark)).otherwise(0)
     levelled = kept.select("file", F.transform("a", lambda x: F.struct(
         x["no"].alias("no"), x["line"].alias("line"), level(x).alias("level"), ((x["line"] != "") | x["code"]).alias("full"))).alias("a"))
     indexed = levelled.select("file", "a", F.filter(F.transform("a", lambda x, i: F.when(x["level"] > 0, i)), lambda i: i.isNotNull()).alias("heads"),
@@ -86,7 +98,7 @@ def split_sections(files: DataFrame) -> DataFrame:
     stem = F.regexp_replace(F.regexp_replace("file", r"^.*/", ""), r"\.[^.]*$", "")
     out = cut.select("file", "ord", F.col("s.line").alias("line"), F.col("s.level").alias("level"),
                      F.when(F.col("s.level") > 0, heading).otherwise(stem).alias("heading"),
-                     F.regexp_replace("s.text", r"\A\n+|\n+\z", "").alias("text"))
+                     F.trim("s.text", F.lit("\n")).alias("text"))
     above = F.last(F.when(F.col("level").isin(1, 2), F.struct("level", "heading")), ignorenulls=True).over(
         W.partitionBy("file").orderBy("ord").rowsBetween(W.unboundedPreceding, -1))
     out = out.withColumn("_above", above).withColumn("parent", F.when(
@@ -113,7 +125,7 @@ def without_code(text: Column) -> Column:
     """Text outside fenced blocks; a fence that is never closed runs to the end."""
     inner = F.regexp_replace(text, f"(?md){_CLOSED}\\n", "")
     last = F.regexp_replace(inner, f"(?md)\\n?{_CLOSED}\\z", "")
-    return F.regexp_replace(last, r"(?md)\n?^ {0,3}(?:`{3,}|~{3,})[\s\S]*\z", "")
+    return F.when(no_fence(text), text).otherwise(F.regexp_replace(last, r"(?md)\n?^ {0,3}(?:`{3,}|~{3,})[\s\S]*\z", ""))
 
 
 def word_pattern(word: str) -> str:
@@ -124,13 +136,28 @@ def word_pattern(word: str) -> str:
 
 def body_of(text: Column) -> Column:
     """Everything after the first line."""
-    return F.when(F.instr(text, "\n") > 0, F.regexp_replace(text, r"\A[^\n]*\n", "")).otherwise("")
+    return F.when(F.instr(text, "\n") > 0, F.substr(text, F.instr(text, "\n") + 1)).otherwise("")
+
+
+def _may_cross(a: str, b: str) -> bool:
+    """Can a mention of ``a`` end inside a mention of ``b`` that goes on behind it?"""
+    return any(a[-k:] == b[:k] and not a[-k - 1].isalnum() and not b[k].isalnum() for k in range(1, min(len(a), len(b))))
+
+
+def _apart(words: list[str]) -> bool:
+    """ASCII words of which none crosses another: a mention lies inside a longer one or beside it, so two mentions are two places."""
+    low = [w.lower() for w in words]
+    return all(w.isascii() and "\\" not in w and w for w in low) and not any(_may_cross(a, b) for a in low for b in low if a != b)
 
 
 def mention_strength(heading: Column, body: Column, words: tuple[str, ...]) -> Column:
     """2 when a word is in the heading, 1 when the body mentions the words twice or more, else 0. Longer words are counted
     first and taken out, so that a part of them is not counted again."""
     ordered = sorted(words, key=lambda w: (-len(w), w))
+    if ordered and _apart(ordered):
+        # one look that ends at the second mention
+        one = "(?<![A-Za-z0-9])(?>" + "|".join(f"\\Q{w}\\E(?![A-Za-z0-9])" for w in ordered) + ")"
+        return F.when(heading.rlike("(?i)" + one), 2).when(body.rlike(f"(?i){one}[\\s\\S]*?{one}"), 1).otherwise(0)
     in_heading = F.lit(False)
     for w in ordered:
         in_heading = in_heading | heading.rlike(word_pattern(w))
@@ -174,13 +201,20 @@ def term_weight(frequency: Column, total: Column) -> Column:
             .when(frequency <= F.greatest(F.lit(3), F.floor(total / 2)), 1).otherwise(0))
 
 
+def with_terms(sections: DataFrame) -> DataFrame:
+    """Sections with the terms of their heading and of their body, for ``term_index``, unless they have them. Stored so, texts need not be
+    read again."""
+    if "body_terms" in sections.columns:
+        return sections
+    return sections.withColumns({"heading_terms": extract_terms(F.col("heading")), "body_terms": extract_terms(body_of(F.col("text")))})
+
+
 def term_index(sections: DataFrame) -> DataFrame:
     """Inverted index: term, section, place (heading wins over body) and weight. Terms without weight are dropped before
     their postings are joined, which also takes out the heaviest keys."""
-    heads = extract_terms(F.col("heading"))
-    split = sections.select("id", heads.alias("h"), extract_terms(body_of(F.col("text"))).alias("b"))
-    postings = split.select("id", F.explode("h").alias("term"), F.lit("heading").alias("place")).unionByName(
-        split.select("id", F.explode(F.array_except("b", "h")).alias("term"), F.lit("body").alias("place")))
+    own = with_terms(sections).select("id", F.col("heading_terms").alias("h"), F.col("body_terms").alias("b"))
+    postings = own.select("id", F.explode("h").alias("term"), F.lit("heading").alias("place")).unionByName(
+        own.select("id", F.explode(F.array_except("b", "h")).alias("term"), F.lit("body").alias("place")))
     total = sections.agg(F.count("*").alias("total"))
     weights = (postings.groupBy("term").agg(F.count("*").alias("n")).join(F.broadcast(total))  # one row
                .select("term", term_weight(F.col("n"), F.col("total")).alias("weight")).where("weight > 0"))
@@ -350,25 +384,25 @@ def score_sections(situations: DataFrame, sections: DataFrame, index: DataFrame,
     usable = sections.where(~F.col("in_card") & F.col("tokens").between(30, budget))
     s_hosts = usable.select("id", "preferred", F.explode("hosts").alias("host", "strength"))
     s_types = usable.select("id", F.explode("types").alias("type", "strength"))
-    own_hosts = situations.select("key", F.explode("hosts").alias("host"))
+    unit = F.when(F.col("place") == "heading", F.col("weight") * 10).otherwise(F.col("weight") * 5)
     by_type = situations.select("key", "type").join(s_types, "type").select(
         "key", "id", F.when(F.col("strength") == 2, 60).otherwise(20).alias("type_points"))
-    unit = F.when(F.col("place") == "heading", F.col("weight") * 10).otherwise(F.col("weight") * 5)
-    by_term = (situations.select("key", F.explode("terms").alias("term")).join(index, "term")
-               .groupBy("key", F.col("section_id").alias("id")).agg(F.least(F.lit(80), F.sum(unit)).alias("term_points"),
-                                                                   F.array_sort(F.collect_set("term")).alias("matched"))
-               .join(usable.select("id"), "id", "left_semi"))
+    by_term = situations.select("key", F.explode("terms").alias("term")).join(index, "term").select(
+        "key", F.col("section_id").alias("id"), unit.alias("unit"), "term")
+    by_host = situations.select("key", F.explode("hosts").alias("host")).join(s_hosts, "host").select(
+        "key", "id", "host", F.struct("strength", "preferred").alias("h"))
+    # every table is read once: what speaks for a pair is put together by the section, which then gives the rest
+    told = by_type.unionByName(by_term, allowMissingColumns=True).unionByName(by_host, allowMissingColumns=True).repartition("id")
+    own_status = F.coalesce((F.col("h.strength") == 2) & F.col("h.preferred"), F.lit(False))
     # the strongest host of the situation in the section, the first by name on a tie
-    best = F.max(F.struct(F.col("strength"), F.col("preferred")))
-    own_status = own_hosts.join(s_hosts.where("strength = 2 AND preferred"), "host").select("key", "id").distinct()
-    pairs = by_type.select("key", "id").union(by_term.select("key", "id")).union(own_status).distinct()
-    host_of = (pairs.join(own_hosts, "key").join(s_hosts, ["id", "host"]).groupBy("key", "id").agg(
-        best.alias("h"), F.min_by("host", F.struct(-F.col("strength"), F.col("host"))).alias("host")))
+    first = F.min_by("host", F.when(F.col("host").isNotNull(), F.struct(-F.col("h.strength"), F.col("host"))))
+    pairs = told.groupBy("key", "id").agg(
+        F.max("type_points").alias("type_points"), F.when(F.sum("unit").isNotNull(), F.least(F.lit(80), F.sum("unit"))).alias("term_points"), F.array_sort(F.collect_set("term")).alias("matched"),
+        F.max("h").alias("h"), first.alias("host"), F.bool_or(F.col("type_points").isNotNull() | F.col("term").isNotNull() | own_status).alias("shared")).where("shared")
+    pairs = pairs.withColumn("matched", F.when(F.size("matched") > 0, F.col("matched")))
     # a section whose heading names only other hosts is about them
-    named = usable.select("id", F.map_keys(F.map_filter("hosts", lambda _, v: v == 2)).alias("named"))
-    joined = (pairs.join(by_type, ["key", "id"], "left").join(by_term, ["key", "id"], "left").join(host_of, ["key", "id"], "left")
-              .join(named, "id").join(situations.select("key", "hosts"), "key")
-              .join(usable.select("id", "preferred", "tokens", "file", "ord"), "id"))
+    named = F.map_keys(F.map_filter("hosts", lambda _, v: v == 2))
+    joined = pairs.join(usable.select("id", named.alias("named"), "preferred", "tokens", "file", "ord"), "id").join(situations.select("key", "hosts"), "key")
     others = (F.size("hosts") > 0) & (F.size("named") > 0) & ~F.arrays_overlap("named", "hosts")
     own = F.coalesce((F.col("h.strength") == 2) & F.col("preferred"), F.lit(False))
     host_points = F.coalesce(F.when(F.col("h.strength") == 2, 100).when(F.col("h.strength") == 1, 30), F.lit(0))

@@ -249,9 +249,10 @@ def situations_of(t):
 
 
 def scored_of(t):
-    # in use these are stored tables; here they are kept, as the joins below read each of them several times
-    d, found = described_of(t).persist(), situations_of(t).persist()
-    return manual.score_sections(found, d, manual.term_index(d)).persist()
+    # in use these are stored tables; here they are kept, with their terms instead of their texts, as the joins below read them several times
+    d = manual.with_terms(described_of(t)).select("id", "file", "ord", "heading", "hosts", "types", "tokens", "preferred", "in_card", "heading_terms", "body_terms").persist()
+    found = situations_of(t).persist()
+    return manual.score_sections(found, d, manual.term_index(d))
 
 
 @query("score_sections", over("scored", sql="SELECT key, id, CAST(score AS INTEGER) AS score, tokens, file, ord FROM scored"))
@@ -267,7 +268,7 @@ f AS (SELECT key, id, score, tokens, n, 0 AS nth, true AS ok, 1200 - tokens AS r
     CASE WHEN c.tokens <= f.rest AND f.taken < 3 THEN f.taken + 1 ELSE f.taken END FROM f JOIN c ON c.key = f.key AND c.n = f.n + 1)
 SELECT key, nth, id, CAST(score AS INTEGER) AS score, tokens FROM f WHERE ok""").replace("WITH ", "WITH RECURSIVE ", 1).replace(",\nRECURSIVE c AS", ",\nc AS"))
 def _(t):
-    return manual.pick_within_budget(scored_of(t).where("tokens <= 1200"), 1200, 3)
+    return manual.pick_within_budget(scored_of(t).where("tokens <= 1200").select("key", "id", "score", "tokens", "file", "ord").persist(), 1200, 3)
 
 
 @query("selection_reasons")

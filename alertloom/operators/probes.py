@@ -1,6 +1,8 @@
 """Probe planning and probe results."""
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -122,49 +124,77 @@ def attach_operator_results(results: DataFrame, runs: DataFrame) -> DataFrame:
     return placed.where("kind = 0").select(F.col("result_id").alias("id"), "incident_id", F.col("next.run_id").alias("analysis_id"))
 
 
+DAY_SEC = 86400
+NOWHERE = -(1 << 62)
+
+
+def day_hops(within: int):
+    """A function of one row per day: its day, its seconds in order, those ``ahead`` that a jump over midnight may land on, and ``after``,
+    the first second behind these. It gives every second that a chain may enter the day at, with the second at which that chain
+    enters a later day, ``NOWHERE`` where it ends."""
+    def hops(day: pd.Series, seconds_: pd.Series, ahead: pd.Series, after: pd.Series) -> pd.DataFrame:
+        enter, leave = [], []
+        for d, own, late, rest in zip(day, seconds_, ahead, after):
+            n, early = len(own), int(d) * DAY_SEC + within
+            known = np.concatenate([own, late, np.array([] if pd.isna(rest) else [rest], "int64")])
+            goes = np.append(np.searchsorted(known, known[:n] + within), np.arange(n, len(known) + 1))
+            while (goes[:n] < n).any():  # each round doubles the jumps: fewer than twenty in a day
+                goes = goes[goes]
+            first = np.arange(min(n, np.searchsorted(own, early) + 1))
+            enter.append(known[first])
+            leave.append(np.append(known, NOWHERE)[goes[first]])
+        return pd.DataFrame({"s": enter, "target": leave})
+    return F.pandas_udf(hops, "s ARRAY<BIGINT>, target ARRAY<BIGINT>")
+
+
+def day_chain(within: int):
+    """A function of one row per day: the seconds of the chain that enters the day at ``at``."""
+    def chain(seconds_: pd.Series, at: pd.Series) -> pd.Series:
+        out = []
+        for own, begins in zip(seconds_, at):
+            found, k = [], int(np.searchsorted(own, begins))
+            while k < len(own):
+                found.append(int(own[k]))
+                k = int(np.searchsorted(own, own[k] + within))
+            out.append(found)
+        return pd.Series(out)
+    return F.pandas_udf(chain, "ARRAY<BIGINT>")
+
+
 def suppress_repeats(requests: DataFrame, within: int = REPEAT_SEC, checkpoints: str | None = None) -> DataFrame:
     """``requests(id, incident_id, name, at)``: a request within ``within`` seconds (a day at most) of an accepted one is
     refused.
 
-    Which request is accepted depends on the chain of accepted ones before it. Every second points to the first second
-    that could be accepted after it; starting from the heads of chains, the accepted seconds are reached by doubling the
-    length of the jumps, so a chain of a million takes twenty rounds and is never gathered.
+    Which request is accepted depends on the chain of accepted ones before it. The seconds of a key and day are one row, of 86,400
+    at most. A day tells for each second that a chain may enter it at where that chain enters a later day; over these few the
+    chain is followed from the first second of the key by doubling the length of the jumps. A day then walks its part of the chain.
     """
-    from alertloom.operators.scans import carry
     from alertloom.session import checkpoint_dir
     checkpoint_dir(requests.sparkSession, checkpoints)
-    key = ["incident_id", "name"]
-    per = requests.groupBy(*key, seconds(F.col("at")).alias("s")).agg(F.min("id").alias("first_id")) \
-        .withColumn("chunk", F.floor(F.col("s") / 86400))
-    per = carry(per, key, "chunk", {"s0": (F.max("s"), F.max)})
-    day = W.partitionBy(*key, "chunk").orderBy("s")
-    later = W.partitionBy(*key).orderBy("chunk").rowsBetween(1, W.unboundedFollowing)
-    # the first second of the days after; only when it is far enough, else the jump is looked up there
-    days = per.groupBy(*key, "chunk").agg(F.min("s").alias("first_s")).select(*key, "chunk", F.min("first_s").over(later).alias("after"))
-    prev = F.coalesce(F.lag("s").over(day), F.col("s0"))
-    per = per.join(days, [*key, "chunk"]).withColumns({
-        "head": prev.isNull() | (F.col("s") - prev >= within), "same_day": F.min("s").over(day.rangeBetween(within, W.unboundedFollowing))})
-    per = per.select(*key, "s", "first_id", "head", F.coalesce("same_day", "after").alias("guess"))
-    # a jump over midnight may land closer than allowed: then the first second far enough on that day is the target
-    close = per.where(F.col("guess") - F.col("s") < within).select(*key, F.col("s").alias("from_s"), (F.col("s") + within).alias("least"),
-                                                                     F.floor((F.col("s") + within) / 86400).alias("d"))
-    options = per.select(*key, F.col("s").alias("t"), F.floor(F.col("s") / 86400).alias("d"))
-    fixed = close.join(options, [*key, "d"]).where("t >= least").groupBy(*key, "from_s").agg(F.min("t").alias("fixed"))
-    beyond = close.join(days.withColumnRenamed("chunk", "d"), [*key, "d"]).select(*key, "from_s", F.col("after").alias("beyond"))
-    per = per.join(fixed.withColumnRenamed("from_s", "s"), [*key, "s"], "left").join(beyond.withColumnRenamed("from_s", "s"), [*key, "s"], "left")
-    target = F.when(F.col("guess") - F.col("s") >= within, F.col("guess")).otherwise(F.coalesce("fixed", "beyond"))
-    per = per.select(*key, "s", "first_id", "head", target.alias("target")).checkpoint()
-    jumps = per.where("target IS NOT NULL").select(*key, "s", "target")
-    reached = per.where("head").select(*key, "s")
-    while True:
-        more = reached.join(jumps, [*key, "s"]).select(*key, F.col("target").alias("s"))
-        grown = reached.union(more).distinct().checkpoint()
-        if grown.count() == reached.count():
-            break
-        reached = grown
+    key, within = ["incident_id", "name"], max(1, within)
+    known = requests.withColumn("s", seconds(F.col("at"))).dropna(subset=[*key, "s"])
+    days = known.select(*key, "s", F.floor(F.col("s") / DAY_SEC).alias("chunk")).distinct().groupBy(*key, "chunk").agg(
+        F.sort_array(F.collect_list("s")).alias("own")).checkpoint()
+    # a jump over midnight lands in the first ``within`` seconds of the next day, or on the first second after them
+    border = F.col("chunk") * DAY_SEC + within
+    early = F.filter("own", lambda s: s < border)
+    marks = days.select(*key, "chunk", F.get("own", F.lit(0)).alias("first_s"), F.get("own", F.size(early)).alias("late_s"))
+    order = W.partitionBy(*key).orderBy("chunk")
+    next_day = F.lead("chunk").over(order) == F.col("chunk") + 1
+    after = F.when(next_day, F.coalesce(F.lead("late_s").over(order), F.lead("first_s", 2).over(order))).otherwise(F.lead("first_s").over(order))
+    ahead = days.withColumn("ahead", early).select(*key, (F.col("chunk") - 1).alias("chunk"), "ahead")
+    whole = days.join(marks.select(*key, "chunk", after.alias("after")), [*key, "chunk"]).join(ahead, [*key, "chunk"], "left")
+    hops = whole.select(*key, day_hops(within)("chunk", "own", F.coalesce("ahead", F.array().cast("array<bigint>")), "after").alias("h"))
+    jumps = hops.select(*key, F.explode(F.arrays_zip("h.s", "h.target")).alias("j")).select(*key, "j.s", "j.target").where("target > s").checkpoint()
+    reached = days.groupBy(*key).agg(F.min(F.get("own", F.lit(0))).alias("s"))
+    while not jumps.isEmpty():
+        # the seconds reached are those of fewer jumps than one of ``jumps`` stands for, so none is reached twice
+        reached = reached.unionByName(reached.join(jumps, [*key, "s"]).select(*key, F.col("target").alias("s"))).checkpoint()
         jumps = jumps.join(jumps.select(*key, F.col("s").alias("target"), F.col("target").alias("far")), [*key, "target"]) \
             .select(*key, "s", F.col("far").alias("target")).checkpoint()
-    accepted = per.join(reached, [*key, "s"], "left_semi").select(*key, F.col("first_id").alias("id"), F.lit(True).alias("hit"))
+    entries = reached.select(*key, F.floor(F.col("s") / DAY_SEC).alias("chunk"), F.col("s").alias("enter"))
+    taken = days.join(entries, [*key, "chunk"]).select(*key, F.explode(day_chain(within)("own", "enter")).alias("s"))
+    accepted = known.join(taken, [*key, "s"]).groupBy(*key, "s").agg(F.min("id").alias("id")).select(*key, "id", F.lit(True).alias("hit"))
     return requests.join(accepted, [*key, "id"], "left").select("id", *key, "at", F.coalesce("hit", F.lit(False)).alias("accepted"))
 
 

@@ -1,12 +1,14 @@
 """Incidents as a stream of changes, fed by alerts and by recoveries, whatever order they arrive in.
 
-The state of a fingerprint is a map from external id to its alert and to the recoveries and withdrawals heard of it, a map of
-what was last told of each incident, and a timer per hold. A call takes in what the batch brought, forms the incidents of the
+The state of a fingerprint are its alerts by external id, each with the recoveries and withdrawals heard of it, in parts by a hash of
+that id, a map of what was last told of each incident, and a timer per hold. A call takes in what the batch brought, forms the incidents of the
 fingerprint anew by event time, and tells the differences under rising version numbers. Recoveries may precede their alert. So
 the newest versions equal ``intake.incident_rollup`` over the same input, for every order of arrival.
 """
 from __future__ import annotations
 
+import json
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,7 +22,7 @@ from alertloom.settings import SECURITY, Settings
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CHANGES = ("source STRING, fingerprint STRING, incident_id BIGINT, version INT, event STRING, problem_status STRING, started_at TIMESTAMP, "
            "last_occurrence_at TIMESTAMP, resolved_at TIMESTAMP, occurrence_count BIGINT, severity INT, source_severity STRING")
-ALERT = "seq BIGINT, s BIGINT, severity INT, source_severity STRING, marks STRING"
+BUCKETS = 256  # parts of the alerts of a fingerprint; a part is read and written as one value
 TOLD = "version INT, status STRING, started BIGINT, last BIGINT, resolved BIGINT, n BIGINT, severity INT, source_severity STRING"
 UNKNOWN = -1
 GONE = "withdrawn"
@@ -51,13 +53,15 @@ def recovery_events(recoveries: DataFrame) -> DataFrame:
 def resolved_by(marks: str) -> int | None:
     """The recovery that stands after all marks ``seq:time`` in the order of seq: the first wins until it is withdrawn."""
     now = None
+    if not marks:
+        return None
     for _, at in sorted((int(seq), at) for seq, at in (m.split(":") for m in marks.split(",") if m)):
         now = None if not at else int(at) if now is None else now
     return now
 
 
 def sessions(alerts: list[tuple], oneshot: bool, gap: int) -> dict[int, tuple]:
-    """Incidents of one fingerprint: the columns of ``TOLD`` after the version, by incident id. ``alerts`` hold those of ``ALERT``."""
+    """Incidents of one fingerprint: the columns of ``TOLD`` after the version, by incident id. ``alerts`` hold seq, second, severity, its label and the marks."""
     known = sorted((s, seq, severity, label, resolved_by(marks)) for seq, s, severity, label, marks in alerts if seq != UNKNOWN)
     found: dict[int, list[tuple]] = {}
     busy, now, at = None, None, 0
@@ -90,6 +94,27 @@ def change_of(old: tuple | None, new: tuple) -> str:
     return "escalated" if new[5] > old[5] else "recurred" if new[4] > old[4] else "changed"
 
 
+class Alerts:
+    """The alerts of a fingerprint by external id in a map state of parts. A call reads all parts and writes those it changed, each as
+    one value: what passes between Spark and Python does not take a turn per alert."""
+
+    def __init__(self, handle: StatefulProcessorHandle) -> None:
+        self.parts = handle.getMapState("alerts", "part INT", "alerts STRING")
+
+    def read(self) -> dict[int, dict[str, list]]:
+        return {part: json.loads(text) for (part,), (text,) in self.parts.iterator()}
+
+    def write(self, parts: dict[int, dict[str, list]], changed: set[int]) -> None:
+        for part in sorted(changed):
+            if parts[part]:
+                self.parts.updateValue((part,), (json.dumps(parts[part]),))
+            elif self.parts.containsKey((part,)):
+                self.parts.removeKey((part,))
+
+    def iterator(self) -> Iterator[tuple]:
+        return (((name,), tuple(held)) for known in self.read().values() for name, held in known.items())
+
+
 class Lifecycle(StatefulProcessor):
     """State and rules of one fingerprint."""
 
@@ -98,26 +123,30 @@ class Lifecycle(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.alerts = handle.getMapState("alerts", "external_id STRING", ALERT)
+        self.alerts = Alerts(handle)
         self.told = handle.getMapState("told", "incident_id BIGINT", TOLD)
         self.holds = handle.getMapState("holds", "incident_id BIGINT", "due BIGINT")
         self.floor = handle.getValueState("floor", "s BIGINT")
 
-    def take(self, rows: pd.DataFrame, floor: int | None) -> Iterator[int]:
-        """Put the rows of a batch into the state; numbers of alerts that come after their time was closed."""
-        for kind, name, seq, s, resolved, severity, label in zip(*(rows[c] for c in ("kind", "external_id", "seq", "s", "resolved", "severity", "source_severity"))):
-            key = ("" if name is None else name,)
-            held = self.alerts.getValue(key) if self.alerts.containsKey(key) else (UNKNOWN, None, None, None, "")
+    def take(self, rows: pd.DataFrame, floor: int | None, parts: dict[int, dict[str, list]], changed: set[int]) -> Iterator[int]:
+        """Put the rows of a batch into ``parts``; numbers of alerts that come after their time was closed."""
+        for kind, name, seq, s, resolved, severity, label in zip(*(rows[c].tolist() for c in ("kind", "external_id", "seq", "s", "resolved", "severity", "source_severity"))):
+            key = name if isinstance(name, str) else ""
+            part = zlib.crc32(key.encode()) % BUCKETS
+            known = parts.setdefault(part, {})
+            held = known.get(key) or [UNKNOWN, None, None, None, ""]
             if kind == "alert":
                 if floor is not None and held[0] == UNKNOWN and s - self.gap <= floor:
                     yield int(seq)
                     continue
                 if held[0] == UNKNOWN or seq < held[0]:
-                    held = (int(seq), int(s), int(severity), label, held[4])
+                    held = [int(seq), int(s), int(severity), label, held[4]]
             mark = None if kind == "alert" and pd.isna(resolved) else f"{seq}:" if pd.isna(resolved) else f"{seq}:{int(resolved)}"
             if mark and mark not in held[4].split(","):
-                held = (*held[:4], f"{held[4]},{mark}" if held[4] else mark)
-            self.alerts.updateValue(key, held)
+                held = [*held[:4], f"{held[4]},{mark}" if held[4] else mark]
+            if held != known.get(key):
+                known[key] = held
+                changed.add(part)
 
     def rows(self, key: tuple, told: list[tuple]) -> pd.DataFrame:
         stamp = lambda s: pd.NaT if s is None else pd.Timestamp(s, unit="s")
@@ -128,12 +157,12 @@ class Lifecycle(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         source, heard, late = key[0], 0, []
         floor = self.floor.get()[0] if self.floor.exists() else None
+        parts, changed = self.alerts.read(), set()
         for batch in rows:
-            late += self.take(batch, floor)
+            late += self.take(batch, floor, parts, changed)
             heard = max(heard, int(batch["heard"].max()))
         out = [(seq, 0, "late", None, None, None, None, None, None, None) for seq in late]
-        every = [(k[0], v) for k, v in self.alerts.iterator()]
-        now = sessions([v for _, v in every], source == SECURITY, self.gap)
+        now = sessions([v for known in parts.values() for v in known.values()], source == SECURITY, self.gap)
         before = {k[0]: v for k, v in self.told.iterator()}
         gone = {i: (GONE, *v[2:]) for i, v in before.items() if i not in now and v[1] != GONE}
         for incident, new in sorted((now | gone).items()):
@@ -147,20 +176,25 @@ class Lifecycle(StatefulProcessor):
                 due = heard + self.hold.get(source, 60) * 1000
                 self.holds.updateValue((incident,), (due,))
                 self.handle.registerTimer(due)
-        if self.horizon is not None and every:
-            self.forget(every, now, max((v[1] for _, v in every if v[0] != UNKNOWN), default=0))
+        if self.horizon is not None and now:
+            self.forget(parts, changed, now)
+        self.alerts.write(parts, changed)
         if out:
             yield self.rows(key, out)
 
-    def forget(self, every: list[tuple], now: dict[int, tuple], newest: int) -> None:
+    def forget(self, parts: dict[int, dict[str, list]], changed: set[int], now: dict[int, tuple]) -> None:
         """Drop the alerts of ended incidents that ended before the horizon, and remember the time up to which that is done."""
+        newest = max(v[2] for v in now.values())
         ended = [v for v in now.values() if v[0] != "open" and max(v[2], v[3] or 0) + self.gap < newest - self.horizon]
         if not ended:
             return
         until = max(max(v[2], v[3] or 0) for v in ended)
-        for name, held in every:
-            if held[0] != UNKNOWN and any(v[1] <= held[1] <= v[2] for v in ended):
-                self.alerts.removeKey((name,))
+        for part, known in parts.items():
+            gone = [name for name, held in known.items() if held[0] != UNKNOWN and any(v[1] <= held[1] <= v[2] for v in ended)]
+            for name in gone:
+                del known[name]
+            if gone:
+                changed.add(part)
         for incident, v in now.items():
             if v in ended:
                 self.told.removeKey((incident,))

@@ -20,10 +20,9 @@ def explode_captures(captures: DataFrame) -> DataFrame:
     clean = F.regexp_replace("value", LONE_SURROGATE, "")
     parsed = captures.select("origin", F.try_parse_json(clean).alias("doc"))
     is_array = F.coalesce(F.schema_of_variant("doc").startswith("ARRAY"), F.lit(False))
-    items = F.when(is_array, F.try_variant_get("doc", "$", "array<variant>"))
-    good = parsed.where(is_array).select("origin", F.posexplode(items).alias("pos", "item"))
-    bad = parsed.where(~is_array).select("origin", F.lit(0).alias("pos"), F.lit(None).cast("variant").alias("item"))
-    return good.unionByName(bad)
+    # a text is read once: one that is no array is taken as an array of one missing element
+    items = F.when(is_array, F.try_variant_get("doc", "$", "array<variant>")).otherwise(F.array(F.lit(None).cast("variant")))
+    return parsed.select("origin", F.posexplode(items).alias("pos", "item"))
 
 
 def _kind(item: Column, path: str) -> Column:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from alertloom.functions.text import estimate_tokens
-from alertloom.operators import probes, prompts
+from alertloom.operators import normalize, probes, prompts
 from alertloom.streaming import lifecycle
 from tests import test_lifecycle
 
@@ -95,3 +95,13 @@ def test_a_call_of_the_stream_takes_no_turn_per_alert():
             setattr(store, name, fn)
     assert len(turns) < 1000 and len(list(step.alerts.iterator())) == 5000
     assert lifecycle.BUCKETS < 1000
+
+
+def test_a_capture_is_read_once(spark):
+    texts = ['[{"a":1},2,null]', "[]", "{}", "no json", None, "", "[3]"]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "origin STRING, value STRING").repartition(2)
+    rows = normalize.explode_captures(df)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("regexp_replace(value") == 1
+    got = {(r["origin"], r["pos"]): r["t"] for r in rows.select("origin", "pos", F.to_json("item").alias("t")).collect()}
+    assert got == {("0", 0): '{"a":1}', ("0", 1): "2", ("0", 2): "null", ("2", 0): None, ("3", 0): None, ("4", 0): None, ("5", 0): None, ("6", 0): "3"}

@@ -150,6 +150,28 @@ def _apart(words: list[str]) -> bool:
     return all(w.isascii() and "\\" not in w and w for w in low) and not any(_may_cross(a, b) for a in low for b in low if a != b)
 
 
+def _inside(a: str, b: str) -> bool:
+    """Does a mention of ``b`` hold one of ``a``?"""
+    ends = lambda i: (i == 0 or not b[i - 1].isalnum()) and (i + len(a) == len(b) or not b[i + len(a)].isalnum())
+    return any(b.startswith(a, i) and ends(i) for i in range(len(b) - len(a) + 1))
+
+
+def _one_look(recipes: list[tuple[str, ...]]) -> bool:
+    """Can the words of all recipes be found together? None may cross another, and none of one recipe lie inside one of another
+    recipe, where it would be found for one of them only."""
+    low = [{w.lower() for w in words} for words in recipes]
+    alone = not any(a != b and _inside(a, b) for own in low for other in low if other is not own for a in own for b in other)
+    return all(recipes) and alone and _apart([w for words in recipes for w in words])
+
+
+def _mentions(text: Column, words: set[str]) -> Column:
+    """All mentions of the words in order, in lower case. What starts no word is passed over by its letter."""
+    ordered = sorted(words, key=lambda w: (-len(w), w))
+    starts = "".join(f"\\x{{{ord(c):X}}}" for c in sorted({x for w in ordered for x in (w[0].lower(), w[0].upper())}))
+    one = f"(?i)(?=[{starts}])(?<![A-Za-z0-9])(?>" + "|".join(f"\\Q{w}\\E(?![A-Za-z0-9])" for w in ordered) + ")"
+    return F.transform(F.regexp_extract_all(text, F.lit(one), F.lit(0)), F.lower)
+
+
 def mention_strength(heading: Column, body: Column, words: tuple[str, ...]) -> Column:
     """2 when a word is in the heading, 1 when the body mentions the words twice or more, else 0. Longer words are counted
     first and taken out, so that a part of them is not counted again."""
@@ -173,17 +195,45 @@ def mention_strength(heading: Column, body: Column, words: tuple[str, ...]) -> C
 def detect_mentions(sections: DataFrame, recipe: dict[str, tuple[str, ...]], name: str, prose: bool = False) -> DataFrame:
     """Map column ``name`` from every recipe entry a section mentions to its strength. The recipe is a hand-written list, so
     it becomes part of the expression: no join and no shuffle."""
-    body = body_of(without_code(F.col("text")) if prose else F.col("text"))
-    tagged = sections.withColumn("_body", body)
-    found = F.array(*[F.struct(F.lit(k).alias("k"), mention_strength(F.col("heading"), F.col("_body"), v).alias("v"))
-                      for k, v in sorted(recipe.items())])
-    return tagged.withColumn(name, F.map_from_entries(F.filter(found, lambda e: e["v"] > 0))).drop("_body")
+    return detect_all(sections, {name: (recipe, prose)})
+
+
+def detect_all(sections: DataFrame, recipes: dict[str, tuple[dict[str, tuple[str, ...]], bool]]) -> DataFrame:
+    """``detect_mentions`` for several columns, ``{name: (recipe, prose)}``. Where the words allow it, a heading and a body are looked
+    at once for all words of all recipes; a body with code is looked at once more for those that count in prose only."""
+    words = [v for recipe, _ in recipes.values() for v in recipe.values()]
+    if not words or not _one_look(words):
+        if len(recipes) > 1:
+            for name, one in recipes.items():
+                sections = detect_all(sections, {name: one})
+            return sections
+        (name, (recipe, prose)), = recipes.items()
+        tagged = sections.withColumn("_body", body_of(without_code(F.col("text")) if prose else F.col("text")))
+        found = F.array(*[F.struct(F.lit(k).alias("k"), mention_strength(F.col("heading"), F.col("_body"), v).alias("v"))
+                          for k, v in sorted(recipe.items())])
+        return tagged.withColumn(name, F.map_from_entries(F.filter(found, lambda e: e["v"] > 0))).drop("_body")
+    every = {w.lower() for v in words for w in v}
+    strict = {w.lower() for recipe, prose in recipes.values() if prose for v in recipe.values() for w in v}
+    text = F.col("text")
+    looks = {"_heading": _mentions(F.col("heading"), every), "_body": _mentions(body_of(text), every)}
+    if strict:
+        looks["_prose"] = F.when(~no_fence(text), _mentions(body_of(without_code(text)), strict))
+    tagged = settled(sections.withColumns(looks), *looks)
+
+    def strength(entry: tuple[str, ...], prose: bool) -> Column:
+        own = [w.lower() for w in entry]
+        mine = F.coalesce("_prose", "_body") if prose else F.col("_body")
+        return F.when(F.arrays_overlap("_heading", F.array(*[F.lit(w) for w in own])), 2).when(
+            F.size(F.filter(mine, lambda w: w.isin(own))) >= 2, 1).otherwise(0)
+    maps = {name: F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(k).alias("k"), strength(v, prose).alias("v")) for k, v in sorted(recipe.items())]),
+                                              lambda e: e["v"] > 0)) for name, (recipe, prose) in recipes.items()}
+    return tagged.withColumns(maps).drop(*looks)
 
 
 def describe_sections(sections: DataFrame, hosts: dict[str, tuple[str, ...]], types: dict[str, tuple[str, ...]], preferred: tuple[str, ...],
                       today: Column) -> DataFrame:
     """Sections with hosts, types, date of confirmation, tokens, hash and whether the heading is a preferred one."""
-    out = detect_mentions(detect_mentions(sections, hosts, "hosts"), types, "types", prose=True)
+    out = detect_all(sections, {"hosts": (hosts, False), "types": (types, True)})
     return out.withColumns({"confirmed_on": confirmed_on(F.col("text"), today), "tokens": estimate_tokens(F.col("text")),
                             "sha256": F.sha2("text", 256), "preferred": prefer_headings(F.col("heading"), preferred)})
 
@@ -210,15 +260,19 @@ def with_terms(sections: DataFrame) -> DataFrame:
 
 
 def term_index(sections: DataFrame) -> DataFrame:
-    """Inverted index: term, section, place (heading wins over body) and weight. Terms without weight are dropped before
-    their postings are joined, which also takes out the heaviest keys."""
+    """Inverted index: term, section, place (heading wins over body) and weight. Terms without weight are dropped.
+
+    Only terms of more than a twentieth of the sections weigh less than 3. They are at most twenty times the mean number of terms of
+    a section, however many sections there are, so they are broadcast and the postings are neither shuffled nor sorted.
+    """
     own = with_terms(sections).select("id", F.col("heading_terms").alias("h"), F.col("body_terms").alias("b"))
     postings = own.select("id", F.explode("h").alias("term"), F.lit("heading").alias("place")).unionByName(
-        own.select("id", F.explode(F.array_except("b", "h")).alias("term"), F.lit("body").alias("place")))
+        own.select("id", F.explode(F.array_except("b", "h")).alias("term"), F.lit("body").alias("place"))).where("term IS NOT NULL")
     total = sections.agg(F.count("*").alias("total"))
-    weights = (postings.groupBy("term").agg(F.count("*").alias("n")).join(F.broadcast(total))  # one row
-               .select("term", term_weight(F.col("n"), F.col("total")).alias("weight")).where("weight > 0"))
-    return postings.join(weights, "term").select("term", F.col("id").alias("section_id"), "place", "weight")
+    often = (postings.groupBy("term").agg(F.count("*").alias("n")).join(F.broadcast(total))  # one row
+             .select("term", term_weight(F.col("n"), F.col("total")).alias("_weight")).where("_weight < 3"))
+    weighed = postings.join(F.broadcast(often), "term", "left").withColumn("weight", F.coalesce("_weight", F.lit(3)))
+    return weighed.where("weight > 0").select("term", F.col("id").alias("section_id"), "place", "weight")
 
 
 def resolve_hosts(names: DataFrame, aliases: DataFrame, ascii_only: bool = False) -> DataFrame:
@@ -390,26 +444,27 @@ def score_sections(situations: DataFrame, sections: DataFrame, index: DataFrame,
     by_term = situations.select("key", F.explode("terms").alias("term")).join(index, "term").select(
         "key", F.col("section_id").alias("id"), unit.alias("unit"), "term")
     by_host = situations.select("key", F.explode("hosts").alias("host")).join(s_hosts, "host").select(
-        "key", "id", "host", F.struct("strength", "preferred").alias("h"))
+        "key", "id", "host", "strength", "preferred")
     # every table is read once: what speaks for a pair is put together by the section, which then gives the rest
     told = by_type.unionByName(by_term, allowMissingColumns=True).unionByName(by_host, allowMissingColumns=True).repartition("id")
-    own_status = F.coalesce((F.col("h.strength") == 2) & F.col("h.preferred"), F.lit(False))
+    own_status = F.coalesce((F.col("strength") == 2) & F.col("preferred"), F.lit(False))
     # the strongest host of the situation in the section, the first by name on a tie
-    first = F.min_by("host", F.when(F.col("host").isNotNull(), F.struct(-F.col("h.strength"), F.col("host"))))
+    first = F.min_by("host", F.when(F.col("host").isNotNull(), F.struct(-F.col("strength"), F.col("host"))))
+    # numbers and truth values only, unless a caller reads the host or the terms: such pairs are hashed and not sorted
     pairs = told.groupBy("key", "id").agg(
         F.max("type_points").alias("type_points"), F.when(F.sum("unit").isNotNull(), F.least(F.lit(80), F.sum("unit"))).alias("term_points"), F.array_sort(F.collect_set("term")).alias("matched"),
-        F.max("h").alias("h"), first.alias("host"), F.bool_or(F.col("type_points").isNotNull() | F.col("term").isNotNull() | own_status).alias("shared")).where("shared")
+        F.max("strength").alias("host_strength"), first.alias("host"), F.bool_or(F.col("type_points").isNotNull() | F.col("term").isNotNull() | own_status).alias("shared")).where("shared")
     pairs = pairs.withColumn("matched", F.when(F.size("matched") > 0, F.col("matched")))
     # a section whose heading names only other hosts is about them
     named = F.map_keys(F.map_filter("hosts", lambda _, v: v == 2))
     joined = pairs.join(usable.select("id", named.alias("named"), "preferred", "tokens", "file", "ord"), "id").join(situations.select("key", "hosts"), "key")
     others = (F.size("hosts") > 0) & (F.size("named") > 0) & ~F.arrays_overlap("named", "hosts")
-    own = F.coalesce((F.col("h.strength") == 2) & F.col("preferred"), F.lit(False))
-    host_points = F.coalesce(F.when(F.col("h.strength") == 2, 100).when(F.col("h.strength") == 1, 30), F.lit(0))
+    own = F.coalesce((F.col("host_strength") == 2) & F.col("preferred"), F.lit(False))
+    host_points = F.coalesce(F.when(F.col("host_strength") == 2, 100).when(F.col("host_strength") == 1, 30), F.lit(0))
     base = host_points + F.coalesce("type_points", F.lit(0)) + F.coalesce("term_points", F.lit(0))
     score = base + F.when(own, 40).when(F.col("preferred") & (base > 0), 20).otherwise(0)
     return (joined.where(~others).withColumn("score", score.cast("int")).withColumn("own", own).where("score >= 50")
-            .select("key", "id", "score", "tokens", "file", "ord", "host", F.col("h.strength").alias("host_strength"), "type_points", "matched",
+            .select("key", "id", "score", "tokens", "file", "ord", "host", "host_strength", "type_points", "matched",
                     "own", "preferred"))
 
 

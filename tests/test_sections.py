@@ -91,3 +91,58 @@ def test_lines_without_a_fence_are_cut_alike(spark):
     code = spark.createDataFrame([("a\n```\nb\n```\nc",), ("a\n~~~\nb",), ("plain",), (None,)], "t string").select(manual.without_code(F.col("t"))).collect()
     assert [r[0] for r in code] == ["a\nc", "a", "plain", None]
     assert [r[0] for r in spark.createDataFrame([("a\nb\nc",), ("a",), ("\nx",), ("é\ny",)], "t string").select(manual.body_of(F.col("t"))).collect()] == ["b\nc", "", "x", "y"]
+
+
+RECIPES = {"hosts": ({"a": ("db-0", "db"), "b": ("web",)}, False), "types": ({"net": ("the", "that"), "file": ("und",)}, True)}
+
+
+def plain_map(heading: str | None, body: str, recipe: dict) -> dict[str, int]:
+    found = {k: plain_strength(heading or "", body, v) for k, v in recipe.items()}
+    return {k: v for k, v in found.items() if v}
+
+
+def test_all_recipes_are_found_in_one_look(spark):
+    """A body was searched once for every entry of every recipe."""
+    pick = random.Random(11)
+    pieces = ["db", "DB-0", "db-0", "web", "Web", "the", "that", "und", "thethe", "0", "-", " ", " ", ".", "\n", "é", "x"]
+    rows = [(i, "".join(pick.choices(pieces, k=pick.randint(0, 3))).replace("\n", " "), "first\n" + "".join(pick.choices(pieces, k=pick.randint(0, 14)))) for i in range(1500)]
+    rows += [(5000, "x", "first\nthe\n```\nthe und und\ndb db\n```\nweb"), (5001, "x", "first\nthe web web\n~~~\nthat und und"), (5002, None, "x\nund und"), (5003, "web", None), (5004, "x", "the the")]
+    df = spark.createDataFrame(rows, "id int, heading string, text string")
+    prose = {5000: "the\nweb", 5001: "the web web"}
+    for recipes in (RECIPES, {"hosts": ({"a": ("db-0",), "b": ("db",)}, False), "types": RECIPES["types"]}, {"hosts": ({"a": ("a-b", "b-x")}, False)}):
+        described = manual.detect_all(df, recipes)
+        assert described.columns == [*df.columns, *recipes]
+        got = {r["id"]: [r[name] for name in recipes] for r in described.collect()}
+        body = {i: (t or "").partition("\n")[2] for i, _, t in rows}
+        assert got == {i: [plain_map(h, prose.get(i, body[i]) if strict else body[i], recipe) for recipe, strict in recipes.values()] for i, h, _ in rows}
+    assert manual._one_look([("db-0", "db"), ("web",)]) and not manual._one_look([("db-0",), ("db",)]) and not manual._one_look([("a-b",), ("b-c",)]) and not manual._one_look([("db",), ()])
+    plan = manual.describe_sections(df.withColumn("file", F.lit("f")), RECIPES["hosts"][0], RECIPES["types"][0], ("x",), F.lit("2024-06-01"))
+    plan = plan.select("hosts", "types")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("db-0") and "RLIKE(_body" not in plan and "RLIKE(heading" not in plan
+
+
+def test_postings_are_neither_shuffled_nor_sorted_for_their_weights(spark):
+    """They were joined with the weights of all terms."""
+    words = [f"w{i:03d}" for i in range(200)]
+    rows = [(str(i), "head", "first\n" + " ".join(["all", *(["half"] if i % 2 else []), *(["some"] if i % 6 == 0 else []), words[i], words[i]])) for i in range(120)]
+    sections = spark.createDataFrame(rows, "id string, heading string, text string")
+    asked = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        index = manual.term_index(sections)
+        plan = index._jdf.queryExecution().executedPlan().toString()
+        got = {(r["term"], r["section_id"]): (r["place"], r["weight"]) for r in index.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", asked)
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    want = {(words[i], str(i)): ("body", 3) for i in range(120)}
+    want |= {("half", str(i)): ("body", 1) for i in range(120) if i % 2} | {("some", str(i)): ("body", 2) for i in range(120) if i % 6 == 0}
+    assert got == want
+
+
+def test_pairs_are_hashed_where_only_scores_are_read(spark):
+    """What a pair kept was a struct, so that all evidence was sorted."""
+    index = spark.createDataFrame([("alpha", "s1", "body", 2)], "term string, section_id string, place string, weight int")
+    found = spark.createDataFrame([("k1", ["h1"], "net", ["alpha"])], "key string, hosts array<string>, type string, terms array<string>")
+    scored = manual.score_sections(found, sections_of(spark), index).select("key", "id", "score")
+    assert "SortAggregate" not in scored._jdf.queryExecution().executedPlan().toString() and scored.count() > 0

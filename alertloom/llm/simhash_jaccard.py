@@ -3,20 +3,23 @@
 Every distinct set of shingle hashes (ASCII lower case, ``shingle`` words, one shingle for a shorter text) gets a SimHash of
 four 64-bit words. At Jaccard 0.8 the cosine is 0.889 at least, so a bit differs with probability 0.152 at most: 9.7 of 64 and
 38.8 of 256 bits are expected. ``FIRST`` and ``WHOLE`` lie about 4.5 deviations above, so a pair is missed about once in 10^4
-or less. Tiles of all distinct sets are compared with each other; no pair is left out. Links gather candidate groups; inside a group
-all pairs within the radii are compared by their exact Jaccard similarity, tile by tile, unless already joined.
+or less. A set is at least ``similarity`` as large as the set it is so similar to: distinct sets are laid out in cells by size, and
+tiles of a cell meet those of the same cell and of the next; no other pair can be a link. Links gather candidate groups; inside
+a group all pairs within the radii are compared by their exact Jaccard similarity, tile by tile, unless already joined.
 
 Defined cases: texts without words are one group; rows with a null doc_id link nothing; rows that repeat a doc_id join all
-sets of that doc_id. Sets are named by the XXH64 of their sorted hashes. Work: grows with the square of the distinct sets.
+sets of that doc_id. Sets are named by the XXH64 of their sorted hashes. Work: comparisons grow with the square of the distinct
+sets of about equal size. A cell or a group is cut into a few tiles whatever its size, and into more only where a tile would
+outgrow a task, so a set is sent a bounded number of times up to there, and once per ``BOUND`` sets of its cell beyond.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertloom.llm.common import components, stored
@@ -24,6 +27,11 @@ from alertloom.llm.simhash_tiles import CHUNK, LOWER
 
 WORDS = 4
 FIRST, WHOLE = 22, 64
+#: Sizes of a cell differ by less than this factor; similar sets lie in one cell or in the next.
+STEP = 1.25
+#: The most members and the most hashes of a tile, and into how many tiles a cell and a group are cut below that.
+BOUND, BOUND_HASHES = 1 << 16, 1 << 20
+CELL_PARTS, GROUP_PARTS = 4, 16
 #: Odd factors that derive the further words of a fingerprint from one hash.
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -51,7 +59,7 @@ def sketch(hashes: np.ndarray) -> list[int]:
 
 
 def sketches(docs: DataFrame, shingle: int, seed: int, sets: bool = False) -> DataFrame:
-    """``doc_id, node, f0..f3`` of every row, or ``node, hashes`` with ``sets``."""
+    """``doc_id, node, size, f0..f3`` of every row, or ``node, hashes`` with ``sets``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [shingles(t.as_py(), shingle, seed) for t in batch.column(1)]
@@ -60,9 +68,10 @@ def sketches(docs: DataFrame, shingle: int, seed: int, sets: bool = False) -> Da
                 yield pa.RecordBatch.from_arrays([node, pa.array([h.view(np.int64) for h in own], pa.list_(pa.int64()))], names=["node", "hashes"])
                 continue
             f = np.array([sketch(h) for h in own], np.int64).reshape(-1, WORDS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), node, *[pa.array(f[:, k]) for k in range(WORDS)]],
-                                             names=["doc_id", "node", *[f"f{k}" for k in range(WORDS)]])
-    columns = "node long, hashes array<long>" if sets else "doc_id long, node long, " + ", ".join(f"f{k} long" for k in range(WORDS))
+            size = pa.array([len(h) for h in own], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), node, size, *[pa.array(f[:, k]) for k in range(WORDS)]],
+                                             names=["doc_id", "node", "size", *[f"f{k}" for k in range(WORDS)]])
+    columns = "node long, hashes array<long>" if sets else "doc_id long, node long, size long, " + ", ".join(f"f{k} long" for k in range(WORDS))
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, columns)
 
 
@@ -90,49 +99,116 @@ class Groups:
         return x != y
 
 
-def fp(column: pa.Array, row: int) -> np.ndarray:
-    """The fingerprints of the members of one tile."""
-    one = column[row].values
-    return np.stack([one.field(f"f{k}").to_numpy(zero_copy_only=False) for k in range(WORDS)], axis=1).view(np.uint64)
-
-
-def joined(one: pa.Array, two: pa.Array, row: int, similarity: float | None) -> list[tuple[int, int]]:
-    """Spanning links between the members of two tiles; with ``similarity`` only of pairs whose sets are so similar."""
-    a, b = fp(one, row), fp(two, row)
-    names = [one[row].values.field("node").to_pylist(), two[row].values.field("node").to_pylist()]
-    same = names[0] == names[1]
-    shift = 0 if same else len(a)
-    groups, links = Groups(shift + len(b)), []
-    if similarity is not None:
-        sets = [[h.values.to_numpy() for h in c[row].values.field("hashes")] for c in (one, two)]
-    for at in range(0, len(a), 256):
-        for i, j in zip(*(x.tolist() for x in close(a[at:at + 256], b))):
-            i += at
-            if (same and j <= i) or groups.root(i) == groups.root(j + shift):
+class Tile:
+    """The members of one tile, smallest sets first."""
+
+    def __init__(self, members: pa.StructArray):
+        def values(name: str) -> np.ndarray:
+            return members.field(name).to_numpy(zero_copy_only=False)
+        order = np.argsort(values("size"), kind="stable")
+        self.size, self.node = values("size")[order], values("node")[order]
+        self.prints = np.stack([values(f"f{k}") for k in range(WORDS)], axis=1).view(np.uint64)[order]
+        self.order, self.members = order, members
+
+    def hashes(self) -> list[np.ndarray]:
+        column = self.members.field("hashes")
+        return [column[k].values.to_numpy() for k in self.order.tolist()]
+
+
+def candidates(a: Tile, b: Tile, similarity: float, rows: int = 256, wide: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs of two tiles that are within the radii and of sizes that allow ``similarity``; of one tile with itself, each
+    pair once. A block of ``rows`` meets the sizes in its reach, ``wide`` of them at a time."""
+    least, reach = similarity * b.size, similarity * a.size
+    for at in range(0, len(a.size), rows):
+        upto = min(at + rows, len(a.size))
+        begin = at if a is b else int(np.searchsorted(b.size, reach[at]))
+        end = int(np.searchsorted(least, a.size[upto - 1], "right"))
+        for to in range(begin, end, wide):
+            i, j = close(a.prints[at:upto], b.prints[to:min(to + wide, end)])
+            i, j = i + at, j + to
+            if a is b:
+                i, j = i[i < j], j[i < j]
+            if len(i):
+                yield i, j
+
+
+def spanned(a: Tile, b: Tile, similarity: float) -> list[tuple[int, int]]:
+    """Spanning links of the candidates between two tiles."""
+    shift = 0 if a is b else len(a.size)
+    label = np.arange(shift + len(b.size))
+    for i, j in candidates(a, b, similarity):
+        j = j + shift
+        while True:
+            x, y = label[i], label[j]
+            open_ = x != y
+            if not open_.any():
+                break
+            i, j, x, y = i[open_], j[open_], x[open_], y[open_]
+            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+            while True:
+                up = label[label]
+                if (up == label).all():
+                    break
+                label = up
+    nodes = a.node if a is b else np.concatenate([a.node, b.node])
+    other = np.nonzero(label != np.arange(len(label)))[0]
+    return list(zip(nodes[other].tolist(), nodes[label[other]].tolist()))
+
+
+def verified(a: Tile, b: Tile, similarity: float) -> list[tuple[int, int]]:
+    """Spanning links between two tiles of the candidates whose sets are so similar."""
+    shift = 0 if a is b else len(a.size)
+    groups, links, one = Groups(shift + len(b.size)), [], a.hashes()
+    two = one if a is b else b.hashes()
+    for places in candidates(a, b, similarity):
+        for i, j in zip(*(x.tolist() for x in places)):
+            if groups.root(i) == groups.root(j + shift):
+                continue
+            x, y = one[i], two[j]
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            if common < similarity * (len(x) + len(y) - common):
                 continue
-            if similarity is not None:
-                x, y = sets[0][i], sets[1][j]
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                if common < similarity * (len(x) + len(y) - common):
-                    continue
             groups.join(i, j + shift)
-            links.append((names[0][i], names[1][j]))
+            links.append((int(a.node[i]), int(b.node[j])))
     return links
 
 
-def tile_links(members: DataFrame, own: list[str], tile: int, similarity: float | None) -> DataFrame:
-    """Links ``(a, b)`` inside each ``root`` of ``members(root, node, own)``, by pairs of tiles of about ``tile`` members."""
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    subs = members.groupBy("root").agg(F.ceil(F.count("*") / tile).cast("int").alias("subs"))
-    tiles = stored(members.join(subs, "root").withColumn("sub", F.pmod(F.xxhash64("node"), F.col("subs")).cast("int"))
-                   .groupBy("root", "subs", "sub").agg(F.collect_list(F.struct("node", *own)).alias("m")), "tiles")
-    left = tiles.select("root", "sub", F.col("m").alias("a"), F.explode(F.sequence("sub", F.col("subs") - 1)).alias("to"))
-    right = tiles.select("root", F.col("sub").alias("to"), F.col("m").alias("b"))
-    pairs = left.join(right, ["root", "to"]).repartition(n, "root", "sub", "to").select("a", "b")
+def tile_pairs(members: DataFrame, own: list[str], weight: Column, tile: int, most: int, bound: int, similarity: float) -> DataFrame:
+    """Pairs ``(a, b)`` of tiles that can hold links inside a ``root`` of ``members(root, cell, node, size, own)``; ``b`` is null for a tile
+    with itself.
 
+    A cell gets a tile per ``tile`` members, ``most`` at most, and more only where a tile would hold more than ``bound`` by ``weight``.
+    """
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    subs = members.groupBy("root", "cell").agg(F.greatest(F.ceil(F.sum(weight) / bound), F.least(F.ceil(F.count("*") / tile), F.lit(most)), F.lit(1))
+                                               .cast("int").alias("subs"))
+    tiles = stored(members.join(subs, ["root", "cell"]).withColumn("sub", F.pmod(F.xxhash64("node"), F.col("subs")).cast("int"))
+                   .groupBy("root", "cell", "sub").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.count("*").alias("n"),
+                                                       F.collect_list(F.struct("node", "size", *own)).alias("m")), "tiles")
+    # what says which tiles meet is one short row per tile; the border of a cell may be off by a rounding
+    left = tiles.select("root", F.col("cell").alias("a_cell"), F.col("sub").alias("a_sub"), "high", "n", F.explode(F.sequence("cell", F.col("cell") + 2)).alias("b_cell"))
+    right = tiles.select("root", F.col("cell").alias("b_cell"), F.col("sub").alias("b_sub"), "low")
+    same = (F.col("a_cell") == F.col("b_cell")) & (F.col("a_sub") == F.col("b_sub"))
+    apart = (F.col("a_cell") < F.col("b_cell")) | (F.col("a_sub") < F.col("b_sub"))
+    key = ["root", "a_cell", "a_sub", "b_cell", "b_sub"]
+    pairs = stored(left.join(right, ["root", "b_cell"]).where((same & (F.col("n") > 1)) | apart)
+                   .where(F.col("high") >= F.col("low") * F.lit(float(similarity))).select(*key, same.alias("same")), "pairs")
+
+    def side(s: str) -> DataFrame:
+        placed = tiles.select("root", F.col("cell").alias(f"{s}_cell"), F.col("sub").alias(f"{s}_sub"), F.col("m").alias(s))
+        met = pairs if s == "a" else pairs.where("NOT same")
+        return met.join(placed, ["root", f"{s}_cell", f"{s}_sub"]).select(*key, s).repartition(n, *key)
+    return side("a").join(side("b"), key, "left").select("a", "b")
+
+
+def tile_links(pairs: DataFrame, links: Callable[[Tile, Tile, float], list[tuple[int, int]]], similarity: float) -> DataFrame:
+    """Links ``(a, b)`` that ``links`` finds between the tiles of every pair."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [x for row in range(batch.num_rows) for x in joined(batch.column(0), batch.column(1), row, similarity)]
+            found = []
+            for row in range(batch.num_rows):
+                one = Tile(batch.column(0)[row].values)
+                found += links(one, Tile(batch.column(1)[row].values) if batch.column(1)[row].is_valid else one, similarity)
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
     return pairs.mapInArrow(run, "a long, b long")
 
@@ -144,13 +220,16 @@ def keep_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, see
     known = docs.where("doc_id IS NOT NULL")
     own = [f"f{k}" for k in range(WORDS)]
     prints = stored(sketches(known, shingle, seed), "prints")
-    nodes = stored(prints.groupBy("node", *own).agg(F.min("doc_id").alias("doc")), "nodes")
-    near = components(tile_links(nodes.select(F.lit(0).alias("root"), "node", *own), own, tile, None))
+    nodes = stored(prints.groupBy("node", "size", *own).agg(F.min("doc_id").alias("doc")), "nodes")
+    cell = F.floor(F.log(STEP, F.greatest("size", F.lit(1)))).cast("int").alias("cell")
+    near = components(tile_links(tile_pairs(nodes.select(F.lit(0).alias("root"), cell, "node", "size", *own), own, F.lit(1), tile, CELL_PARTS, BOUND, similarity),
+                                 spanned, similarity))
     members = stored(nodes.join(near, "node"), "members")
     # the sets of candidates only, from one document that holds each
     texts = known.join(members.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = stored(sketches(texts, shingle, seed, sets=True).dropDuplicates(["node"]), "sets")
-    links = tile_links(members.join(sets, "node").select("root", "node", "hashes", *own), [*own, "hashes"], 256, similarity)
+    candidate = members.join(sets, "node").select("root", F.lit(0).alias("cell"), "node", "size", "hashes", *own)
+    links = tile_links(tile_pairs(candidate, [*own, "hashes"], F.col("size"), 256, GROUP_PARTS, BOUND_HASHES, similarity), verified, similarity)
     # rows that repeat a doc_id hold its sets together
     held = prints.select("doc_id", "node").distinct()
     first = held.groupBy("doc_id").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("doc_id", "a")

@@ -6,6 +6,8 @@ import functools
 import random
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -57,6 +59,42 @@ def test_stage_links_pairs_from_80_percent(spark):
     assert {r.doc_id for r in stage(spark, docs, SF).collect()} == want | {None}
 
 
+def test_stage_sends_a_set_a_bounded_number_of_times(spark, monkeypatch):
+    """Tiles meet by the sizes of their sets, and a cell of any size is cut into a few: every tile was sent to every other."""
+    rnd = random.Random(9)
+    texts = [" ".join(f"w{rnd.randrange(9999)}" for _ in range(5 + int(2 ** (k % 9)))) for k in range(1800)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kind, sent = type(docs), []
+    whole = kind.mapInArrow
+
+    def counted(df, *args, **options):
+        if df.columns == ["a", "b"]:
+            sent.append(df.agg(F.sum(F.greatest(F.size("a"), F.lit(0)) + F.greatest(F.size("b"), F.lit(0)))).first()[0] or 0)
+        return whole(df, *args, **options)
+    monkeypatch.setattr(kind, "mapInArrow", counted)
+    assert simhash_jaccard.keep_similar(docs, tile=8).count() == len(texts)
+    assert 0 < max(sent) <= 32 * len(texts)
+
+
+def test_tiles_skip_only_pairs_whose_sizes_forbid_them():
+    """Against all pairs: the candidates of tiles in blocks are the pairs within the radii whose sizes allow 0.8."""
+    rnd = np.random.default_rng(4)
+    base = rnd.integers(-2 ** 63, 2 ** 63 - 1, (30, simhash_jaccard.WORDS))
+
+    def tile(n, first):
+        prints = base[rnd.integers(0, 30, n)] ^ (1 << rnd.integers(0, 62, (n, simhash_jaccard.WORDS)))
+        return simhash_jaccard.Tile(pa.StructArray.from_arrays([pa.array(first + np.arange(n)), pa.array(rnd.integers(0, 40, n)), *map(pa.array, prints.T)],
+                                                               names=["node", "size", *[f"f{k}" for k in range(simhash_jaccard.WORDS)]]))
+    one, two = tile(300, 0), tile(200, 1000)
+    for a, b in ((one, two), (two, one), (one, one)):
+        i, j = simhash_jaccard.close(a.prints, b.prints)
+        want = {(x, y) for x, y in zip(i.tolist(), j.tolist()) if (a is not b or x < y) and min(a.size[x], b.size[y]) >= 0.8 * max(a.size[x], b.size[y])}
+        got = [x for p in simhash_jaccard.candidates(a, b, 0.8, rows=16, wide=32) for x in zip(*(v.tolist() for v in p))]
+        assert len(got) == len(set(got)) and want <= set(got) and len(want) > 100
+        links = simhash_jaccard.spanned(a, b, 0.8)
+        assert len(links) <= len(a.size) + len(b.size) and {n for x in links for n in x} <= {*a.node.tolist(), *b.node.tolist()}
+
+
 def test_mix_follows_the_given_weights():
     """In every prefix of the first phase each source is less than a block from its exact share, across ranges."""
     rnd = random.Random(3)
